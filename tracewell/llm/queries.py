@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, token_counts
+from tracewell.llm import bpe, line_dedup, mixing, quality, telephony, token_counts
 from tracewell.llm._common import table
 
 
@@ -22,5 +22,75 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.deduplicated(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = telephony.store(table(spark, sf_dir, "documents"))
+    back = telephony.read(stored)
+    tail = F.substring("payload", -32, 32)
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_line_dedup, op6_quality, op7_telephony, op9_mixing)}
+ORACLE_SQL = {
+    "op3_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+        ), keyed AS (
+            SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM lines
+        ), hot AS (
+            SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
+            GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+        ), judged AS (
+            SELECT keyed.*, hot.k IS NOT NULL AND doc_id <> keeper AS gone FROM keyed LEFT JOIN hot ON keyed.k = hot.k
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
+    "op9_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+            FROM documents
+        ), sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size) * 2.0::DOUBLE AS cap,
+                   [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight
+            FROM sized GROUP BY source
+        ), ordered AS (
+            SELECT *, cap / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+                   coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clamped,
+                   sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+            FROM sources
+        ), levels AS (
+            SELECT *, max(CASE WHEN (total - clamped) / rest <= ratio THEN (total - clamped) / rest END) OVER () AS level FROM ordered
+        ), goals AS (
+            SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM levels
+        ), parts AS (
+            SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target + 0.5) / source_size) AS BIGINT) ELSE 0 END AS whole FROM goals
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(whole * size + greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - whole * source_size
+                    - (sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size))) AS BIGINT) AS taken
+        FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
+    """,
+}
