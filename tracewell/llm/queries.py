@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, line_dedup, mixing, quality, telephony, token_counts
+from tracewell.llm import bpe, line_dedup, mixing, quality, substring_dedup, telephony, token_counts
 from tracewell.llm._common import table
 
 
@@ -28,6 +28,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -47,7 +52,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_line_dedup, op6_quality, op7_telephony, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_line_dedup, op5_substring_dedup, op6_quality, op7_telephony, op9_mixing)}
 ORACLE_SQL = {
     "op3_line_dedup": r"""
         WITH lines AS (
@@ -67,6 +72,26 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op5_substring_dedup": r"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs)
+        ), firsts AS (
+            SELECT k, min(doc_id) AS first FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (k) WHERE doc_id > first
+        ), words AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+        ), gone AS (
+            SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op9_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
