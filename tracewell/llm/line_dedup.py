@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import ASCII_SPACE, NULL_ID, cut, id_column, need, null_id_back, pieces_of, texts
+from tracewell.llm._common import ASCII_SPACE, cut, id_column, need, pieces_of, texts
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -296,5 +296,3 @@ class LineIndex:
         drops = dropped_keys(refs, repeated(refs, self.min_docs), self.filters(), self.shards, size)
         return apply_drops(docs, drops, id_col, text_col, self.min_chars)
 
-
-__all__ = ["NULL_ID", "CuckooFilter", "LineIndex", "deduplicated", "null_id_back", "reference_counts", "repeated"]

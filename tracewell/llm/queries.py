@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, line_dedup, mixing, quality, substring_dedup, telephony, token_counts
+from tracewell.llm import ann, bpe, chat, line_dedup, mixing, near_dup, quality, substring_dedup, telephony, token_counts
 from tracewell.llm._common import table
 
 
@@ -28,6 +28,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, ann.fit(vectors), F.col("vec_id") % 50 == 0)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.find_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,11 +53,22 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_line_dedup, op5_substring_dedup, op6_quality, op7_telephony, op9_mixing)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_token_counts, op3_line_dedup, op4_ann, op5_substring_dedup, op6_quality, op7_telephony, op8_near_dup, op9_mixing, op10_chat)
+}
 ORACLE_SQL = {
     "op3_line_dedup": r"""
         WITH lines AS (
