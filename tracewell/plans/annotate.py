@@ -51,7 +51,8 @@ class Annotated:
 #: Operators through which rows pass one by one.
 PASSING = {"Filter", "Sort", "SubqueryAlias", "Repartition", "RepartitionByExpression", "RebalancePartitions", "ResolvedHint", "View"}
 #: Operators that count, order or draw rows, or make several of one.
-COUNTING = {"GlobalLimit", "LocalLimit", "Offset", "Tail", "Window", "WindowGroupLimit", "Sample", "Generate", "Expand"}
+LIMITS = {"GlobalLimit", "LocalLimit", "Offset", "Tail"}
+COUNTING = LIMITS | {"Window", "WindowGroupLimit", "Sample", "Generate", "Expand"}
 LEFT_ONLY = {"LEFT ANTI", "EXISTENCE"}
 
 
@@ -109,7 +110,10 @@ class Annotator:
         return Annotated(self.cat.project(own + more, child.plan), child.lineage, child.identity, child.multiplied)
 
     def _passing(self, n: PlanNode, witness: bool) -> Annotated:
-        child = self.walk(n.children[0], witness)
+        below = [n]  # limits stand in pairs, which only together know their sort
+        while below[-1].name in LIMITS and below[-1].children[0].name in LIMITS:
+            below.append(below[-1].children[0])
+        child = self.walk(below[-1].children[0], witness)
         if n.name in COUNTING and child.multiplied:
             return self._barrier(n, child)
         if n.name == "Filter":
@@ -119,7 +123,9 @@ class Annotator:
         elif n.name == "Sort":
             plan = self.cat.sort(n.node, child.plan, self._unique(child.identity))
         else:
-            plan = self.cat.with_children(n.node, [child.plan])
+            plan = child.plan
+            for x in reversed(below):
+                plan = self.cat.with_children(x.node, [plan])
         return Annotated(plan, child.lineage, child.identity, child.multiplied)
 
     def _barrier(self, n: PlanNode, witnesses: Annotated) -> Annotated:
