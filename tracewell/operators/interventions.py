@@ -41,7 +41,8 @@ def dense_whatif(block: DataFrame, column: str, matrix: DataFrame, base: DataFra
     of each mask the `top` largest. One pass over the joined rows sums all bits; no row is copied."""
     joined = block.select(F.col("output_id").alias("out"), F.col(column).alias("iid")).where("iid is not null").join(matrix, "iid").join(base.withColumnRenamed("rid", "iid"), "iid")
     known = [(r["i"], r["j"]) for r in predicates.orderBy("i", "j").collect()]  # the caller's predicates
-    sums = [F.sum(F.when(F.get(F.array(F.col(f"mask_{i // BITS}")), F.lit(0)).bitwiseAND(F.lit(1 << j if j < 63 else -(1 << 63)).cast("long")) != 0, value).otherwise(F.lit(0).cast("double") * value)).alias(f"v{i + j}") for i, j in known]
+    bit = lambda j: F.lit(1 << j if j < BITS - 1 else -(1 << BITS - 1)).cast("long")
+    sums = [F.sum(F.when(F.col(f"mask_{i // BITS}").bitwiseAND(bit(j)) != 0, value).otherwise(F.lit(0))).alias(f"v{i + j}") for i, j in known]
     wide = joined.groupBy("out").agg(*sums)
     bits = F.explode(F.array(*(F.struct(F.lit(i // BITS).alias("mid"), F.lit(j).alias("k"), F.col(f"v{i + j}").alias("v")) for i, j in known)))
     rows = wide.select("out", bits.alias("b")).select("out", "b.*")
