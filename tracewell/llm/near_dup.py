@@ -43,9 +43,14 @@ COORDINATES = 64
 MARGIN = 0.18
 LIMIT = 128
 DEPTH = 6
-TILE = 1_024
+#: A group is cut into blocks of so many documents, or so many items of their sets together.
+TILE = 512
+TILE_ITEMS = 1 << 20
 SALTS = 32
 SLICE = 4_096
+#: Tokens and columns counted at once.
+RANGE_ITEMS = 1 << 19
+COLUMNS = 2_048
 _RANDOM = np.random.default_rng(40)
 _FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -85,7 +90,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
-    """(id long, print binary, sig array<int>) of each row; print is the digest of the set, null if empty."""
+    """(id long, print binary, items long, sig array<int>) of each row; print is the digest of the set, null if empty."""
     need(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +100,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 flat = np.concatenate([signature(s) for s in sets])
                 sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDINATES, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), sigs], ["id", "print", "sig"])
+                items = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), items, sigs], ["id", "print", "items", "sig"])
 
-    return docs.select(id_column(id_col).alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, print binary, sig array<int>")
+    return docs.select(id_column(id_col).alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, print binary, items long, sig array<int>")
 
 
 def _children(rows: DataFrame, threshold: float) -> DataFrame:
@@ -218,32 +224,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
-    """Which of the first `left` sets are linked with which of the others; left = all: among themselves."""
+    """Which of the first `left` sets are linked with which of the others; left = all: among themselves.
+    Shared tokens are counted by matrix products, over one range of the (sorted, evenly spread) tokens after the other."""
     n = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    tokens, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1  # tokens of one set only meet nothing
-    owner = np.repeat(np.arange(len(sets)), n)[count[place] > 1]
-    column = number[place][count[place] > 1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
     right = 0 if left == len(sets) else left
     shared = np.zeros((left, len(sets) - right), np.float32)
-    width = int(column[-1]) + 1 if len(column) else 0
-    for first in range(0, width, SLICE):
-        a, b = np.searchsorted(column, [first, first + SLICE])
-        held = np.zeros((len(sets), min(SLICE, width - first)), np.float32)
-        held[owner[a:b], column[a:b] - first] = 1
-        shared += held[:left] @ held[right:].T
+    ranges = 1 << max(0, int(n.sum()) // RANGE_ITEMS).bit_length()
+    cuts = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - (ranges.bit_length() - 1))) if ranges > 1 else np.empty(0, np.uint64)
+    at = [np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]]) for s in sets]
+    for k in range(ranges):
+        parts = [s[p[k] : p[k + 1]] for s, p in zip(sets, at, strict=True)]
+        tokens, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        several = count > 1  # tokens of one set only meet nothing
+        good = several[place]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in parts])[good]
+        column = (np.cumsum(several) - 1)[place[good]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width = int(several.sum())
+        for first in range(0, width, COLUMNS):
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            held = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
+            held[owner[a:b], column[a:b] - first] = 1
+            shared += held[:left] @ held[right:].T
     union = n[:left, None] + n[None, right:] - shared
     return shared >= threshold * union - 1e-6
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, gram: int, threshold: float) -> DataFrame:
     """(id, links long, root long) for each tile and document in it: the copies of the documents linked
-    with it there, and the least id that links in the tile lead to. groups: (id, group, copies)."""
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    members = groups.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    with it there, and the least id that links in the tile lead to. groups: (id, group, copies, items)."""
+    blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("items") / TILE_ITEMS)).cast("int")
+    sizes = groups.groupBy("group").agg(blocks.alias("blocks"))
+    members = groups.drop("items").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,9 +314,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     rows = found.select("id", "print", salt.alias("salt")).join(salted, ["print", "salt"], "left")
     rows = cut(rows.select("id", F.col("print").isNull().alias("empty"), F.coalesce("node", "id").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies")))
     heads = rows.where("id = node and not empty").select("id", "copies").dropDuplicates(["id"])
-    nodes = cut(found.where("print is not null").join(heads, "id").dropDuplicates(["id"]).select("id", "sig", "copies"))
+    nodes = cut(found.where("print is not null").join(heads, "id").dropDuplicates(["id"]).select("id", "sig", "items", "copies"))
     groups = components(candidate_edges(nodes.select("id", "sig"), threshold, recall))
-    members = cut(groups.join(nodes.select("id", "copies"), "id").select("id", F.col("root").alias("group"), "copies"))
+    members = cut(groups.join(nodes.select("id", "items", "copies"), "id").select("id", F.col("root").alias("group"), "copies", "items"))
     links = cut(exact_links(docs, members, id_col, text_col, gram, threshold))
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(links.where("id != root").select("id", "root").distinct())
