@@ -104,5 +104,5 @@ def test_output_ids_by_ranges_are_those_of_one_window(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     df = spark.range(500).selectExpr("(id * 7919) % 501 as x", "id")
     order = [F.col("x").desc(), F.col("id").asc()]
-    a, b = (sorted(map(tuple, with_output_ids(df, order, estimate=e).collect())) for e in (0, 1 << 40))
+    a, b = (sorted(map(tuple, with_output_ids(df, order, read=e).collect())) for e in (0, 1 << 40))
     assert a == b

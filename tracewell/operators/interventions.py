@@ -23,10 +23,8 @@ def target_matrix(base: DataFrame, predicates: list[str]) -> DataFrame:
     """(iid, mask_0, mask_1, ...): bit j of mask i is whether predicate 64 * i + j holds. base has rid."""
     masks = []
     for i in range(0, len(predicates), BITS):
-        mask = F.lit(0).cast("long")
-        for j, p in enumerate(predicates[i : i + BITS]):
-            mask = mask.bitwiseOR(F.shiftleft(F.coalesce(F.expr(f"cast(({p}) as bigint)"), F.lit(0).cast("long")), j))
-        masks.append(mask.alias(f"mask_{i // BITS}"))
+        bits = (f"shiftleft(if({p}, 1L, 0L), {j})" for j, p in enumerate(predicates[i : i + BITS]))
+        masks.append(F.expr(" | ".join(bits)).alias(f"mask_{i // BITS}"))
     return base.select(F.col("rid").alias("iid"), *masks)
 
 
@@ -38,15 +36,18 @@ def predicate_catalog(spark: SparkSession, predicates: list[str]) -> DataFrame:
 
 def dense_whatif(block: DataFrame, column: str, matrix: DataFrame, base: DataFrame, value: Column, predicates: DataFrame, top: int | None = 3) -> DataFrame:
     """(out, mid, k, v, pred): the sum of value over an output's rows that predicate k of mask mid holds for;
-    of each mask the `top` largest. One pass over the joined rows sums all bits; no row is copied."""
+    of each mask the `top` largest. Rows are summed by their masks first, before a shuffle; the bits
+    are taken apart on those sums, not on rows."""
     joined = block.select(F.col("output_id").alias("out"), F.col(column).alias("iid")).where("iid is not null").join(matrix, "iid").join(base.withColumnRenamed("rid", "iid"), "iid")
-    known = [(r["i"], r["j"]) for r in predicates.orderBy("i", "j").collect()]  # the caller's predicates
-    bit = lambda j: F.lit(1 << j if j < BITS - 1 else -(1 << BITS - 1)).cast("long")
-    sums = [F.sum(F.when(F.col(f"mask_{i // BITS}").bitwiseAND(bit(j)) != 0, value).otherwise(F.lit(0))).alias(f"v{i + j}") for i, j in known]
-    wide = joined.groupBy("out").agg(*sums)
-    bits = F.explode(F.array(*(F.struct(F.lit(i // BITS).alias("mid"), F.lit(j).alias("k"), F.col(f"v{i + j}").alias("v")) for i, j in known)))
-    rows = wide.select("out", bits.alias("b")).select("out", "b.*")
-    named = rows.join(F.broadcast(predicates), (F.col("i") == F.col("mid") * BITS) & (F.col("j") == F.col("k"))).select("out", "mid", "k", "v", "pred")
+    masks = [c for c in matrix.columns if c != "iid"]
+    summed = joined.groupBy("out", *masks).agg(F.sum(value).alias("v"))
+    parts = None
+    for mid, mask in enumerate(masks):
+        bits = summed.groupBy("out", mask).agg(F.sum("v").alias("v")).select("out", mask, "v", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("k"))
+        held = F.expr(f"bit_get({mask}, k) = 1")
+        one = bits.groupBy("out", F.lit(mid).alias("mid"), "k").agg(F.sum(F.when(held, F.col("v")).otherwise(F.lit(0))).alias("v"))
+        parts = one if parts is None else parts.unionByName(one)
+    named = parts.join(F.broadcast(predicates), (F.col("i") == F.col("mid") * BITS) & (F.col("j") == F.col("k"))).select("out", "mid", "k", "v", "pred")
     if top is None:
         return named
     best = Window.partitionBy("mid").orderBy(F.desc("v"), "out", "k")

@@ -77,6 +77,22 @@ class Annotator:
             return self._passing(n, witness)
         raise UnsupportedPlan(f"no rule for {n.name} (operator {n.opid})")
 
+    def root_witnesses(self, n: PlanNode) -> Annotated:
+        """The root's witnesses for a join with its own rows on their identity. Where a chain of operators on
+        single inputs leads from the root to an aggregate, that join does what theirs would do, and the aggregate's
+        annotated input with its grouping keys is enough."""
+        at = n
+        while at.name in PASSING or at.name in COUNTING or at.name == "Project":
+            if self.mode == "full" and at.subqueries:
+                break
+            at = at.children[0]
+        if at.name != "Aggregate":
+            return self.walk(n, True)
+        below, keys = self._aggregate_input(at)
+        named = [self.cat.named(k, f"__w{i}") for i, k in enumerate(keys)]
+        plan = self.cat.project(named + [x.attribute for x in below.lineage], below.plan)
+        return Annotated(plan, below.lineage, [self.cat.attribute(k) for k in named], True)
+
     def _leaf(self, n: PlanNode, witness: bool) -> Annotated:
         frame = with_row_ids(self.cat.frame(n.node), "__rid", n.name)
         plan = self.cat.analyzed(frame)
@@ -148,13 +164,18 @@ class Annotator:
         values = Annotated(plain, [], [self.cat.attribute(k) for k in named])
         if not witness:
             return values
-        below = self.walk(n.children[0], True)
+        below, keys = self._aggregate_input(n)
+        return self._joined(values, below, keys, bool(keys))
+
+    def _aggregate_input(self, n: PlanNode) -> tuple[Annotated, list[Any]]:
+        """An aggregate's annotated input, and the grouping keys over it."""
+        below, keys = self.walk(n.children[0], True), self.cat.items(n.node.groupingExpressions())
         if self._rewritten_distinct(n):  # there each input row stands once for every distinct aggregate
             attributes = [self.cat.named(k, f"__d{i}") for i, k in enumerate(keys)]
             once = self.cat.project(attributes + [x.attribute for x in below.lineage], below.plan)
             below = Annotated(self.cat.distinct(once), below.lineage, [], True)
             keys = [self.cat.attribute(a) for a in attributes]
-        return self._joined(values, below, keys, bool(keys))
+        return below, keys
 
     def _rewritten_distinct(self, n: PlanNode) -> bool:
         inner = n.children[0]

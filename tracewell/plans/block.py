@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,8 +13,10 @@ from tracewell.plans.annotate import Annotated, Annotator
 from tracewell.plans.catalyst import Catalyst
 from tracewell.plans.nodes import PlanNode
 
-#: Results estimated beyond this size get their ids by ranges over many tasks instead of one window.
-ONE_WINDOW_BYTES = 256 << 20
+#: Results of inputs beyond this size get their ids by ranges over many tasks instead of one window.
+ONE_WINDOW_BYTES = 1 << 30
+#: Up to so many result rows, their ids are broadcast to the witnesses.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass
@@ -33,9 +36,9 @@ def _root_sort(cat: Catalyst, n: PlanNode) -> Any | None:
     return n.node if n.name == "Sort" and getattr(n.node, "global")() else None
 
 
-def _named(cat: Catalyst, root: PlanNode, a: Annotated, sort: Any | None) -> _Sides:
-    orders = cat.items(sort.order()) if sort is not None else []
-    groups = {"p": cat.output(root.node), "s": [o.child() for o in orders], "i": a.identity, "l": [x.attribute for x in a.lineage]}
+def _named(cat: Catalyst, root: PlanNode, a: Annotated, sort: Any | None, values: bool = True) -> _Sides:
+    orders = cat.items(sort.order()) if sort is not None and values else []
+    groups = {"p": cat.output(root.node) if values else [], "s": [o.child() for o in orders], "i": a.identity, "l": [x.attribute for x in a.lineage]}
     columns = [cat.named(e, f"{g}{k}") for g, es in groups.items() for k, e in enumerate(es)]
     frame = cat.frame(cat.project(columns, a.plan))
     keys = []
@@ -53,14 +56,14 @@ def _orderable(frame: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if "map<" not in kinds[c] and "variant" not in kinds[c]]
 
 
-def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id", estimate: int = 0) -> DataFrame:
-    """frame with 0-based places in an order. A large one is dealt out by ranges of the order, numbered
-    within each range, and each range starts after the rows of those before it."""
-    if estimate <= ONE_WINDOW_BYTES:
+def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id", read: int = 0) -> DataFrame:
+    """frame with 0-based places in an order. If much was read for it, it is dealt out by ranges of the order,
+    numbered within each range, and each range starts after the rows of those before it."""
+    if read <= ONE_WINDOW_BYTES:
         return frame.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
     marked = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
-    marked = marked.checkpoint()  # ranges are drawn anew each time they are computed
+    marked = _kept(marked)  # ranges are drawn anew each time they are computed
     counts = marked.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__mono").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -68,35 +71,47 @@ def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id",
     return placed.withColumn(name, F.col("__mono") - F.col("__first") + F.col("__start")).drop("__part", "__mono", "__first", "__start")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that spark.checkpoint.dir names; one of its own only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-checkpoint-"))
+    return df.checkpoint()
+
+
 def compose(cat: Catalyst, root: PlanNode, mode: str = "left") -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
-    """The block, the result with its output_id (columns p0, p1, ...), and (opid, table) of the block's
-    columns after output_id. Rows of the result that no table row stands behind aren't in the block."""
+    """The block, the result with its output_id (and columns p0, p1, ...), and (opid, table) of the block's
+    columns after output_id. Rows of the result that no table row stands behind aren't in the block.
+
+    If rows may have several witnesses, the result is computed and kept first; if it is small, its ids are
+    broadcast and the witnesses are neither shuffled nor sorted."""
     sort = _root_sort(cat, root)
     carry = [a for o in cat.items(sort.order()) for a in cat.references(o)] if sort is not None else []
     annotator = Annotator(cat, mode, carry)
-    a = annotator.walk(root, True)
+    a = annotator.root_witnesses(root)
     order_of = sorted(range(len(a.lineage)), key=lambda k: a.lineage[k].opid)
     columns = [(a.lineage[k].opid, a.lineage[k].table) for k in order_of]
     named = [F.col(f"l{k}").alias(f"opid_{a.lineage[k].opid}_{a.lineage[k].table}") for k in order_of]
-    estimate = int(str(root.node.stats().sizeInBytes()))
-    witnesses = _named(cat, root, a, sort)
+    read = sum(int(str(n.node.stats().sizeInBytes())) for n in root.leaves())
+    values = _named(cat, root, annotator.walk(root, False) if a.multiplied else a, sort)
+    order = [*values.sort, *(F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.payload + values.identity))]
+    numbered = with_output_ids(values.frame, order, read=read)
     if not a.multiplied:
-        order = [*witnesses.sort, *(F.col(c).asc_nulls_first() for c in _orderable(witnesses.frame, witnesses.payload + witnesses.identity))]
-        numbered = with_output_ids(witnesses.frame, order, estimate=estimate)
         block = numbered.select("output_id", *named)
-        result = numbered.select("output_id", *witnesses.payload)
     else:
-        values = _named(cat, root, annotator.walk(root, False), sort)
-        order = [*values.sort, *(F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.payload + values.identity))]
-        numbered = with_output_ids(values.frame, order, estimate=estimate)
-        result = numbered.select("output_id", *values.payload)
+        numbered = numbered.persist()
+        small = numbered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         ids = numbered.select("output_id", *(F.col(c).alias(f"v_{c}") for c in values.identity))
+        ids = F.broadcast(ids) if small else ids
+        witnesses = _named(cat, root, a, sort, values=False)
         condition = F.lit(True)
         for c in values.identity:
             condition = condition & F.col(c).eqNullSafe(F.col(f"v_{c}"))
-        block = witnesses.frame.select(*witnesses.identity, *witnesses.lineage).join(ids, condition) if values.identity else witnesses.frame.select(*witnesses.lineage).crossJoin(ids)
-        block = block.select("output_id", *named)
+        block = (witnesses.frame.join(ids, condition) if values.identity else witnesses.frame.crossJoin(ids)).select("output_id", *named)
     if columns:
         some = F.coalesce(*(F.col(f"`opid_{o}_{t}`") for o, t in columns)).isNotNull()
         block = block.where(some)
-    return block, result, columns
+    return block, numbered, columns

@@ -4,6 +4,7 @@ Blocks are written in SQL by hand: row ids as row_number() over the table, joins
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,20 +22,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _views(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
+def _views(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
+    """Views of the tables that a text names, or of all."""
+    for t in TABLES if sql is None else (t for t in TABLES if re.search(rf"\b{t}\b", sql)):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def _session(spark: SparkSession, sf_dir: str, mode: str = "left") -> ProvenanceSession:
-    _views(spark, sf_dir)
+def _session(spark: SparkSession, sf_dir: str, mode: str = "left", sql: str | None = None) -> ProvenanceSession:
+    _views(spark, sf_dir, sql)
     s = ProvenanceSession(spark, mode)
     s.set_persist_lineage(False)
     return s
 
 
 def _block(spark: SparkSession, sf_dir: str, sql: str, mode: str = "left") -> tuple[ProvenanceSession, DataFrame]:
-    s = _session(spark, sf_dir, mode)
+    s = _session(spark, sf_dir, mode, sql)
     return s, s.read_block(s.capture(spark.sql(sql)))
 
 
@@ -71,7 +73,7 @@ def _lineage(name: str, sql: str, columns: list[str], oracle: str, mode: str = "
 
 def _tpch(name: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _views(spark, sf_dir)
+        _views(spark, sf_dir, sql)
         return spark.sql(sql)
 
     _query(f"tpch_{name}", sql)(run)

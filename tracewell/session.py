@@ -63,6 +63,8 @@ class ProvenanceSession:
         for q in self._queries.values():
             if q.kept and q.block is not None:
                 q.block.unpersist()
+            if q.result is not None:
+                q.result.unpersist()
         self._queries.clear()
 
     def __enter__(self) -> ProvenanceSession:
@@ -162,7 +164,7 @@ class ProvenanceSession:
         """The query's result with output_id, under its own column names."""
         self.prepare_lineage(qid)
         q = self._query(qid)
-        return q.result.toDF("output_id", *q.frame.columns)
+        return q.result.select("output_id", *(F.col(f"p{k}").alias(c) for k, c in enumerate(q.frame.columns)))
 
     def plan(self, qid: int) -> nodes.PlanNode:
         return self._query(qid).root
