@@ -109,6 +109,8 @@ def test_the_switches_and_statements(spark, tables):
     assert rows.columns[0] == "output_id" and rows.columns[1].endswith("_t") and rows.count() == 6
     assert s.lineage_meta().first()["size_mb"] == 12 * 8 / 1e6
     assert s.sql("select count(*) as n from global_lineage(0) where sink_opid = -1").first()["n"] == 4
+    assert s.sql("select sum(value) as n from PolyEval(0, 'count')").first()["n"] == 6
+    assert {r["value"] for r in s.sql("select value from PolyEval(0, 'boolean')").collect()} == {True}
     with pytest.raises(UnknownQuery):
         s.prepare_lineage(7)
     s.sql("PRAGMA clear_lineage")
@@ -124,6 +126,18 @@ def test_the_switches_and_statements(spark, tables):
     assert not s._queries[0].kept
 
 
+def test_whatif_of_a_captured_query(spark, tables):
+    s = ProvenanceSession(spark)
+    qid = s.capture(spark.sql("select a, count(*) as c, sum(b) as s, avg(b) as m from n group by a"))
+    found = {r["predicate"]: (r["g0"], r["g1"]) for r in s.whatif(qid, 0, [0, 3], ["n.b"]).collect()}
+    assert found == {"b=1": (1.0, 2.0), "b=2": (1.0, 2.0), "b=4": (2.0, 1.0), "b=NULL": (2.0, 1.0)}
+    assert {r["predicate"]: r["g0"] for r in s.whatif(qid, 1, [0], ["n.b"]).collect()} == {"b=1": 2.0, "b=2": 1.0}
+    matrix, catalog = s.prepare_interventions(qid, {"n": ["b = 1", "a > 2"]})["n"]
+    assert [r["mask_0"] for r in matrix.orderBy("iid").collect()] == [1, 0, 1, 0, 3, 3, 2, 2] and catalog.count() == 2
+    with pytest.raises(ValueError, match="no aggregate"):
+        s.whatif(s.capture(spark.table("n")), 0, [0], ["n.b"])
+
+
 def test_plans_without_a_rule_say_so(spark, tables):
     s = ProvenanceSession(spark)
     qid = s.capture(spark.sql("with recursive r(x) as (select 1 union all select x + 1 from r where x < 4) select * from r join t on r.x = t.k"))

@@ -145,3 +145,18 @@ class Catalyst:
     def null_like(self, attribute, name: str):
         none = self.expressions.Literal(None, attribute.dataType())
         return self.named(none, name)
+
+    def aggregate_functions(self, aggregate) -> list[tuple[str, str | None]]:
+        """(function, column) of each aggregate in the output of an Aggregate; the column is None if it isn't a plain one."""
+        out = []
+        for e in self.items(aggregate.aggregateExpressions()):
+            inner = e.child() if self.kind(e) == "Alias" else e
+            if self.kind(inner) != "AggregateExpression":
+                continue
+            f = inner.aggregateFunction()
+            args = self.items(f.children())
+            at = args[0] if args else None
+            while at is not None and self.kind(at) == "Cast":
+                at = at.child()
+            out.append((self.kind(f), at.name() if at is not None and self.kind(at) == "AttributeReference" else None))
+        return out

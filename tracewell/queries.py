@@ -549,12 +549,12 @@ def explain_whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("predicate", F.round("g0", 6).alias("g0"), F.round("g1", 6).alias("g1"))
 
 
-_FADE = "(values (0, 10.0, 12.0, 30.0, 41.0), (1, 11.0, 9.5, 22.0, 45.0), (2, 10.5, 10.0, null, 28.0), (3, 14.0, 10.0, 35.0, 30.0)) as r(pid, g0, g1, g2, g3)"
+_GIVEN = "(values (0, 10.0, 12.0, 30.0, 41.0), (1, 11.0, 9.5, 22.0, 45.0), (2, 10.5, 10.0, null, 28.0), (3, 14.0, 10.0, 35.0, 30.0)) as r(pid, g0, g1, g2, g3)"
 
 
-@_query("explain_score", f"with r as (select * from {_FADE}), good as (select pid, unnest([abs(g0 - 10)**0.5, abs(g1 - 10)**0.5]) as y from r), bad as (select pid, unnest([coalesce(40 - g2, 0)**2, coalesce(50 - g3, 0)**2]) as y from r), g as (select pid, max(y) as y from good group by pid), b as (select pid, median(y) as m from bad group by pid) select cast(pid as bigint) as pid, round(m / 45.0 / 2 - y / 10.0, 9) as score from g join b using (pid)")
+@_query("explain_score", f"with r as (select * from {_GIVEN}), good as (select pid, unnest([abs(g0 - 10)**0.5, abs(g1 - 10)**0.5]) as y from r), bad as (select pid, unnest([coalesce(40 - g2, 0)**2, coalesce(50 - g3, 0)**2]) as y from r), g as (select pid, max(y) as y from good group by pid), b as (select pid, median(y) as m from bad group by pid) select cast(pid as bigint) as pid, round(m / 45.0 / 2 - y / 10.0, 9) as score from g join b using (pid)")
 def explain_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = spark.sql(f"select cast(pid as bigint) as pid, cast(g0 as double) as g0, cast(g1 as double) as g1, cast(g2 as double) as g2, cast(g3 as double) as g3 from {_FADE}")
+    results = spark.sql(f"select cast(pid as bigint) as pid, cast(g0 as double) as g0, cast(g1 as double) as g1, cast(g2 as double) as g2, cast(g3 as double) as g3 from {_GIVEN}")
     return explain.score(results, [10.0, 10.0], [40.0, 50.0]).select("pid", F.round("score", 9).alias("score"))
 
 

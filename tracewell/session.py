@@ -9,9 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import semirings
+from tracewell.operators import explain, interventions
 from tracewell.plans import nodes
 from tracewell.plans.block import compose
 from tracewell.plans.catalyst import Catalyst
+from tracewell.sources.row_ids import with_row_ids
 
 log = logging.getLogger(__name__)
 
@@ -110,15 +113,17 @@ class ProvenanceSession:
             if name == "lineage_meta":
                 frame = self.lineage_meta()
             else:
-                qid = int(arg) if re.fullmatch(r"\d+", arg) else max(self._queries, default=-1)
-                frame = self.read_block(qid) if name == "read_block" else self.global_lineage(qid)
+                first, _, model = arg.partition(",")
+                qid = int(first) if re.fullmatch(r"\d+", first.strip()) else max(self._queries, default=-1)
+                given = {"read_block": self.read_block, "global_lineage": self.global_lineage, "polyeval": lambda q: self.poly_eval(q, model.strip(" '") or "count")}
+                frame = given[name](qid)
             view = f"__{name}_{made}"
             frame.createOrReplaceTempView(view)
             return view
 
         query = re.sub(r"\b(lineage_meta)\s*\(\s*()\)", read, query, flags=re.I)
-        inner = r"(\s*(?:\d+|\(\s*select\s+max\s*\(\s*query_id\s*\)\s+from\s+\w+\s*\))?\s*)"
-        return re.sub(rf"\b(read_block|global_lineage)\s*\({inner}\)", read, query, flags=re.I), made
+        inner = r"(\s*(?:\d+|\(\s*select\s+max\s*\(\s*query_id\s*\)\s+from\s+\w+\s*\))?\s*(?:,\s*'?\w+'?\s*)?)"
+        return re.sub(rf"\b(read_block|global_lineage|polyeval)\s*\({inner}\)", read, query, flags=re.I), made
 
     def capture(self, df: DataFrame) -> int:
         """Record a query; its id."""
@@ -160,6 +165,12 @@ class ProvenanceSession:
         self.prepare_lineage(qid)
         return [f"opid_{o}_{t}" for o, t in self._query(qid).columns if table in (None, t)]
 
+    def base_rows(self, qid: int, column: str) -> DataFrame:
+        """The table behind a block's column, with rid."""
+        opid = int(column.split("_")[1])
+        leaf = next(n for n in self._query(qid).root.leaves() if n.opid == opid)
+        return with_row_ids(self._cat.frame(leaf.node), "rid", leaf.name)
+
     def result(self, qid: int) -> DataFrame:
         """The query's result with output_id, under its own column names."""
         self.prepare_lineage(qid)
@@ -202,3 +213,38 @@ class ProvenanceSession:
             sink = F.lit(label if inner else ""), F.lit(top.opid if inner else -1)
             out = out.unionByName(rows.select(F.lit(table).alias("source_table"), sink[0].alias("sink_table"), F.lit(opid).alias("source_opid"), sink[1].alias("sink_opid"), F.col("output_id").alias("out_rowid"), F.col("rid").alias("in_rowid")))
         return out
+
+    # applications
+
+    def poly_eval(self, qid: int, model: str = "count") -> DataFrame:
+        """(output_id, value) of the query's polynomial; model: count, boolean or formula."""
+        return semirings.poly_eval(self.read_block(qid), model)
+
+    def prepare_interventions(self, qid: int, predicates: dict[str, list[str]]) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """For each table named: its target matrix and its predicate catalog."""
+        return {
+            t: (interventions.target_matrix(self.base_rows(qid, self.block_columns(qid, t)[0]), p), interventions.predicate_catalog(self.spark, p))
+            for t, p in predicates.items()
+        }
+
+    def whatif(self, qid: int, aggregate: int, outputs: list[int], spec: list[str]) -> DataFrame:
+        """(pid, predicate, g0..gk): the query's aggregate number `aggregate` (count, sum, avg or stddev of a plain
+        column), for the outputs, without the rows of each combination of values of the attributes in spec
+        (table.column, all of the aggregate's table)."""
+        top = self._query(qid).root
+        while top.name != "Aggregate" and top.children:
+            top = top.children[0]
+        if top.name != "Aggregate":
+            raise ValueError("the query has no aggregate on top")
+        kind, value = self._cat.aggregate_functions(top.node)[aggregate]
+        known = {"Count": "count", "Sum": "sum", "Average": "avg", "StddevSamp": "stddev"}
+        if kind not in known or (value is None and kind != "Count"):
+            raise ValueError(f"{kind} can't be taken back")
+        tables = {a.split(".")[0] for a in spec}
+        if len(tables) != 1:
+            raise ValueError("attributes of one table, as table.column")
+        column = self.block_columns(qid, tables.pop())[0]
+        base = self.base_rows(qid, column)
+        if value is None:
+            value, base = "__one", base.withColumn("__one", F.lit(1))
+        return explain.whatif(self.read_block(qid), column, base, known[kind], value, outputs, [a.split(".", 1)[1] for a in spec])
