@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import cut, id_column, need, null_id_back, pieces_of, texts
+from tracewell.llm._common import by_place, cut, id_column, need, null_id_back, pieces_of, place_of, texts
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -47,6 +47,7 @@ DEPTH = 6
 TILE = 512
 TILE_ITEMS = 1 << 20
 SALTS = 32
+PARTS = 8
 SLICE = 4_096
 #: Tokens and columns counted at once.
 RANGE_ITEMS = 1 << 19
@@ -207,15 +208,19 @@ def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in edges (id, root): the least id of its connected component. Labels pass
-    along edges and then jump to their label's label, until none changes."""
-    both = cut(edges.select(F.col("id").alias("a"), F.col("root").alias("b")).union(edges.select("root", "id")).distinct())
+    along edges and then jump to their label's label, until none changes. The centre of a star, and the label of a
+    large component, are met in PARTS parts."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
+    each = F.explode(F.array(*map(F.lit, range(PARTS)))).alias("at_part")
+    both = edges.select(F.col("id").alias("a"), F.col("root").alias("b")).union(edges.select("root", "id")).distinct()
+    both = cut(both.withColumn("part", part("a")))
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root"))
     while True:
-        told = both.join(labels, both["b"] == labels["id"]).select(F.col("a").alias("id"), "root")
-        least = labels.unionByName(told).groupBy("id").agg(F.min("root").alias("root"))
-        least = cut(least)
-        up = least.select(F.col("id").alias("up"), F.col("root").alias("up_root"))
-        jumped = least.join(up, least["root"] == up["up"]).select("id", "up_root")
+        senders = labels.select(F.col("id").alias("sender"), F.col("root").alias("sent"), each)
+        told = both.join(senders, (both["b"] == senders["sender"]) & (both["part"] == senders["at_part"])).select(F.col("a").alias("id"), F.col("sent").alias("root"))
+        least = cut(labels.unionByName(told).groupBy("id").agg(F.min("root").alias("root")))
+        up = least.select(F.col("id").alias("up"), F.col("root").alias("up_root"), each)
+        jumped = least.join(up, (least["root"] == up["up"]) & (part("id") == up["at_part"])).select("id", "up_root")
         new = labels.join(jumped, "id").select("id", F.col("up_root").alias("root"), (F.col("up_root") != F.col("root")).alias("changed"))
         new = cut(new)
         labels = new.select("id", "root")
@@ -334,6 +339,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, without the documents that aren't their class's least id."""
     found = classes(docs, id_col, text_col, **options)
-    later = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(later, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
-
+    later = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("id")).distinct()
+    placed, _ = by_place(docs)
+    return placed.join(later, placed[place_of(docs, id_col)].eqNullSafe(later["id"]), "left_anti").toDF(*docs.columns)
