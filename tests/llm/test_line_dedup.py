@@ -46,6 +46,8 @@ def test_odd_rows(spark, odd_docs):
     assert out.columns == [*odd_docs.columns, "n_lines", "n_dropped", "kept"] and out.count() == odd_docs.count()
     assert {(r["n_lines"], r["n_dropped"], r["kept"]) for r in out.where("doc_id in (1, 2)").collect()} == {(1, 0, "")}
     assert ld.deduplicated(odd_docs.limit(0)).count() == 0
+    clash = odd_docs.withColumnRenamed("ids", "Kept").withColumnRenamed("size", "n_lines")
+    assert [c for c in ld.deduplicated(clash).columns if c.lower() in ld.RESULTS] == [*ld.RESULTS]
 
 
 def test_repeated_rows_are_one_document(spark):

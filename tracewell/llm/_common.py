@@ -70,3 +70,13 @@ def pieces_of(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) ->
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's strings, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ..., so that no name can meet another; those names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    return f"c{[c.lower() for c in df.columns].index(name.lower())}"

@@ -13,8 +13,8 @@ folder and takes inserts and deletions.
 
 Defined results: a null or empty text is one empty line; a null id is one document, below all others;
 rows with the same id are one document, each row keeping its own lines; ties don't arise, as only ids
-are compared; an empty table gives an empty table. Other columns of the input are carried along only by
-`deduplicated`, under their names; its own columns must not be among them.
+are compared; an empty table gives an empty table. Other columns of the input are carried along; of those named
+like a result (n_lines, n_dropped, kept) `deduplicated` keeps the result, `with_kept_text` the input's.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import ASCII_SPACE, cut, id_column, need, pieces_of, texts
+from tracewell.llm._common import ASCII_SPACE, by_place, cut, id_column, need, pieces_of, place_of, texts
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -192,11 +192,10 @@ def dropped_keys(refs: DataFrame, hot: DataFrame, filters: DataFrame, shards: in
 
 
 def apply_drops(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """docs with, beside its columns, n_lines, n_dropped and kept."""
-    if clash := {"n_lines", "n_dropped", "kept"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = [c.lower() for c in docs.columns].index(text_col.lower())
+    """docs by place (columns c0, c1, ...), then n_lines, n_dropped and kept."""
+    need(docs, id_col, text_col)
+    placed, names = by_place(docs)
+    at = names.index(place_of(docs, text_col))
     kinds = [k for _, k in docs.dtypes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,15 +216,22 @@ def apply_drops(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str, m
                 columns = [*part.columns[: len(names)], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped", "kept"])
 
-    given = docs.select(id_column(id_col).alias("id"), *(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    given = placed.select(id_column(place_of(docs, id_col)).alias("id"), *names)
     joined = given.join(drops, "id", "left").select(*names, "keys")
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", n_lines long, n_dropped long, kept string"
-    out = joined.mapInArrow(run, schema)
-    return out.toDF(*docs.columns, "n_lines", "n_dropped", "kept")
+    return joined.mapInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with, beside its columns, n_lines, n_dropped and kept (the text that stays)."""
+RESULTS = ("n_lines", "n_dropped", "kept")
+
+
+def _with_results(docs: DataFrame, applied: DataFrame) -> DataFrame:
+    """docs' columns under their names, but for those named like a result, and the results."""
+    stay = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c.lower() not in RESULTS]
+    return applied.select(*(n for n, _ in stay), *RESULTS).toDF(*(c for _, c in stay), *RESULTS)
+
+
+def _applied(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
     refs = cut(reference_counts(docs, id_col, text_col, min_chars))
     hot = cut(repeated(refs, min_docs))
     n = hot.count()
@@ -235,6 +241,20 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return apply_drops(docs, drops, id_col, text_col, min_chars)
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with, beside its columns, n_lines, n_dropped and kept (the text that stays)."""
+    return _with_results(docs, _applied(docs, id_col, text_col, min_chars, min_docs))
+
+
+def with_kept_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs, its columns and no others, each text being what stays of it; length_col, if there is one of that
+    name, is its length in characters."""
+    applied = _applied(docs, id_col, text_col, min_chars, min_docs)
+    new = {text_col.lower(): F.col("kept"), (length_col or "").lower(): F.length("kept")}
+    columns = [new.get(c.lower(), F.col(f"c{i}")).cast(k).alias(f"c{i}") for i, (c, k) in enumerate(docs.dtypes)]
+    return applied.select(*columns).toDF(*docs.columns)
+
+
 class LineIndex:
     """The reference table and its filters in a shared folder, over batches of inserts and deletions.
 
@@ -294,5 +314,5 @@ class LineIndex:
         refs = self.refs()
         size = self.filters().agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
         drops = dropped_keys(refs, repeated(refs, self.min_docs), self.filters(), self.shards, size)
-        return apply_drops(docs, drops, id_col, text_col, self.min_chars)
+        return _with_results(docs, apply_drops(docs, drops, id_col, text_col, self.min_chars))
 

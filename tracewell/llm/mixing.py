@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import cut, need
+from tracewell.llm._common import by_place, cut, need, place_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS_HEX = 3
@@ -96,6 +96,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies of one row, or all have their own ids."""
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
-    reps = taken.select(F.col(id_col).alias("__id"), times.alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times")).where("__times > 0")
-    joined = docs.join(reps, docs[id_col].eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*(docs[c] for c in docs.columns))
+    reps = taken.select(F.col(id_col).alias("id"), times.alias("times")).groupBy("id").agg(F.max("times").alias("times")).where("times > 0")
+    placed, names = by_place(docs)
+    joined = placed.join(reps, placed[place_of(docs, id_col)].eqNullSafe(reps["id"]))
+    return joined.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*names).toDF(*docs.columns)

@@ -108,6 +108,32 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op8_near_dup": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), items AS (
+            SELECT DISTINCT doc_id, item FROM (
+                SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS item
+                FROM docs)
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b, x.n = shared.n AND y.n = shared.n AS same
+            FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE shared.n >= 0.8 * (x.n + y.n - shared.n)
+        ), reached AS (
+            SELECT doc_id, doc_id AS root FROM documents
+            UNION
+            SELECT links.a, reached.root FROM links JOIN reached ON links.b = reached.doc_id
+        ), classes AS (
+            SELECT doc_id, min(root) AS class_id FROM reached GROUP BY doc_id
+        ), counts AS (
+            SELECT a AS doc_id, count(*) AS n, CAST(sum(CAST(same AS INT)) AS BIGINT) AS copies FROM links GROUP BY a
+        )
+        SELECT doc_id, class_id, coalesce(n, 0) AS n_links, coalesce(copies, 0) AS n_copies FROM classes LEFT JOIN counts USING (doc_id)
+    """,
     "op9_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
