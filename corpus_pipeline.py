@@ -20,9 +20,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the lines that stay; n_chars is counted again."""
-    kept = line_dedup.deduplicated(docs)
-    text = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return kept.select(*(text.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return line_dedup.with_kept_text(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
