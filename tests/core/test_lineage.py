@@ -7,6 +7,7 @@ import pytest
 from tracewell import tpch
 from tracewell.plans.annotate import UnsupportedPlan
 from tracewell.session import ProvenanceSession, UnknownQuery
+from tracewell.sources.readers import read_csv
 from tracewell.sources.row_ids import with_row_ids
 
 
@@ -91,6 +92,23 @@ def test_sources_other_than_files(spark):
     assert sorted(map(tuple, s.read_block(2).collect())) == [(0, 17), (1, 18), (2, 19)]
 
 
+def test_csv_with_nulls_filled(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("hrint,moteid,temp\n1,7,20.5\n1,,21.0\n2,8,\n")
+    df = read_csv(spark, str(tmp_path / "r.csv"), {"temp": 0.0, "moteid": -1})
+    assert [tuple(r) for r in df.collect()] == [(1, 7, 20.5), (1, -1, 21.0), (2, 8, 0.0)]
+    df.createOrReplaceTempView("readings")
+    assert block(spark, "select hrint, avg(temp) as a from readings group by hrint") == [(0, 0), (0, 1), (1, 2)]
+
+
+def test_tables_made_and_blocks_saved(spark, tables, tmp_path):
+    s = ProvenanceSession(spark)
+    spark.sql("drop table if exists made_here")
+    qid = s.create_table_as("made_here", "select k, count(*) as c from t group by k")
+    s.save_block(qid, str(tmp_path / "block"))
+    assert spark.table("made_here").count() == 4 and spark.read.parquet(str(tmp_path / "block")).count() == 6
+    spark.sql("drop table made_here")
+
+
 def test_the_switches_and_statements(spark, tables):
     s = ProvenanceSession(spark)
     s.sql("select * from t")

@@ -351,6 +351,112 @@ _lineage(
     select output_id, cu.rid as customer_rid, od.rid as orders_rid, li.rid as lineitem_rid from v join od using (o_orderkey) join cu on c_custkey = o_custkey join li on l_orderkey = o_orderkey""",
 )
 
+def _by_table(name: str, order: str, keys: str, witnesses: str) -> None:
+    """A workload query's block, row-id columns by table. witnesses: (keys, <table>_rid...) in SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s, block = _block(spark, sf_dir, tpch.QUERIES[name])
+        return block.select("output_id", *(F.col(c).alias(f"{c.split('_', 2)[2]}_rid") for c in s.block_columns(0)))
+
+    numbered = f"w as (select *, row_number() over (order by {order}) - 1 as output_id from ({tpch.QUERIES[name]}) q), j as ({witnesses})"
+    joined = f"select output_id, j.* exclude ({keys}) from w join j using ({keys})" if keys else "select output_id, j.* from w cross join j"
+    _query(f"lin_tpch_{name}", f"{_WITH}, {numbered} {joined}")(run)
+
+
+_SOLD = "cu, od, li where c_custkey = o_custkey and l_orderkey = o_orderkey"
+_by_table("q01", "l_returnflag, l_linestatus", "l_returnflag, l_linestatus", "select l_returnflag, l_linestatus, rid as lineitem_rid from li where l_shipdate <= cast('1998-09-02' as date)")
+_by_table(
+    "q04", "o_orderpriority", "o_orderpriority",
+    """select o_orderpriority, rid as orders_rid from od where o_orderdate >= cast('1996-07-01' as date) and o_orderdate < cast('1996-10-01' as date)
+    and exists (select * from li where l_orderkey = o_orderkey and l_returnflag = 'R')""",
+)
+_by_table(
+    "q05", "revenue desc, n_name", "n_name",
+    f"""select n_name, cu.rid as customer_rid, od.rid as orders_rid, li.rid as lineitem_rid, su.rid as supplier_rid, na.rid as nation_rid, re.rid as region_rid
+    from su, na, re, {_SOLD} and l_suppkey = s_suppkey and c_nationkey = s_nationkey and s_nationkey = n_nationkey and n_regionkey = r_regionkey and r_regionkey = 2
+    and o_orderdate >= cast('1996-01-01' as date) and o_orderdate < cast('1997-01-01' as date)""",
+)
+_by_table(
+    "q06", "1", "",
+    """select rid as lineitem_rid from li where l_shipdate >= cast('1996-01-01' as date) and l_shipdate < cast('1997-01-01' as date)
+    and cast(l_discount as decimal(4,2)) between 0.05 and 0.07 and l_quantity < 24""",
+)
+_by_table(
+    "q10", "revenue desc, c_custkey", "c_custkey",
+    f"""select c_custkey, cu.rid as customer_rid, od.rid as orders_rid, li.rid as lineitem_rid, na.rid as nation_rid from na, {_SOLD} and l_returnflag = 'R' and c_nationkey = n_nationkey
+    and o_orderdate >= cast('1995-10-01' as date) and o_orderdate < cast('1996-01-01' as date)""",
+)
+_by_table(
+    "q11", "value desc, ps_partkey", "ps_partkey",
+    """select l_partkey as ps_partkey, li.rid as lineitem_rid, su.rid as supplier_rid, na.rid as nation_rid
+    from li, su, na where l_suppkey = s_suppkey and s_nationkey = n_nationkey and n_name = 'NATION_8'""",
+)
+_by_table(
+    "q12", "l_linestatus", "l_linestatus",
+    """select l_linestatus, od.rid as orders_rid, li.rid as lineitem_rid from od, li where o_orderkey = l_orderkey and l_returnflag in ('A', 'R')
+    and l_shipdate >= cast('1996-01-01' as date) and l_shipdate < cast('1997-01-01' as date)""",
+)
+_by_table(
+    "q14", "1", "",
+    "select li.rid as lineitem_rid, pa.rid as part_rid from li, pa where l_partkey = p_partkey and l_shipdate >= date '1995-09-01' and l_shipdate < cast('1995-10-01' as date)",
+)
+_by_table(
+    "q15", "s_suppkey", "s_suppkey",
+    """select s_suppkey, su.rid as supplier_rid, li.rid as lineitem_rid from su, li where s_suppkey = l_suppkey
+    and l_shipdate >= date '1996-01-01' and l_shipdate < date '1996-01-01' + interval '3' month""",
+)
+_by_table(
+    "q16", "supplier_cnt desc, p_brand, p_type, p_size", "p_brand, p_type, p_size",
+    """select p_brand, p_type, p_size, pa.rid as part_rid, li.rid as lineitem_rid from pa, li where p_partkey = l_partkey
+    and l_suppkey not in (select s_suppkey from su where s_acctbal < 0)""",
+)
+_by_table(
+    "q19", "1", "",
+    """select li.rid as lineitem_rid, pa.rid as part_rid from li, pa where p_partkey = l_partkey and (
+    (p_brand = 'Brand#12' and l_quantity between 1 and 11 and p_size between 1 and 5) or (p_brand = 'Brand#23' and l_quantity between 10 and 20 and p_size between 1 and 10)
+    or (p_brand = 'Brand#34' and l_quantity between 20 and 30 and p_size between 1 and 15))""",
+)
+_by_table(
+    "q21", "numwait desc, s_name", "s_name",
+    """select s_name, su.rid as supplier_rid, li.rid as lineitem_rid, od.rid as orders_rid, na.rid as nation_rid from su, li, od, na
+    where s_suppkey = l_suppkey and o_orderkey = l_orderkey and o_orderstatus = 'F' and l_returnflag = 'R' and s_nationkey = n_nationkey and n_name = 'NATION_20'
+    and exists (select * from lineitem l2 where l2.l_orderkey = li.l_orderkey and l2.l_suppkey <> li.l_suppkey)""",
+)
+_by_table(
+    "q22", "cntrycode", "cntrycode",
+    """select substring(cast(c_nationkey + 10 as varchar(2)), 1, 1) as cntrycode, rid as customer_rid from cu
+    where c_nationkey in (13, 1, 3, 9, 10, 18, 17) and cast(c_acctbal as decimal(12,2)) > (
+        select sum(cast(c_acctbal as decimal(12,2))) / count(*) from cu where c_acctbal > 0.00 and c_nationkey in (13, 1, 3, 9, 10, 18, 17))
+    and not exists (select * from od where o_custkey = c_custkey and o_orderpriority = '1-URGENT')""",
+)
+
+_lineage(
+    "lin_lateral", "select r_name, t.n_name from region, lateral (select n_name from nation where n_regionkey = r_regionkey and n_nationkey > 10) t", ["region_rid", "nation_rid"],
+    "select row_number() over (order by r_name, n_name) - 1 as output_id, re.rid as region_rid, na.rid as nation_rid from re join na on n_regionkey = r_regionkey where n_nationkey > 10",
+)
+_lineage(
+    "lin_grouping_sets", "select o_orderstatus, o_orderpriority, count(*) as n from orders where o_totalprice > 300000 group by grouping sets ((o_orderstatus), (o_orderpriority))", ["orders_rid"],
+    """, o as (select * from od where o_totalprice > 300000), t as (select rid, o_orderstatus as f, null as s from o union all select rid, null, o_orderpriority from o)
+    select dense_rank() over (order by f nulls first, s nulls first) - 1 as output_id, rid as orders_rid from t""",
+)
+
+
+# functions of the workload
+
+
+@_query("fn_statistics", "select event_type, count(*) as n, count(distinct user_id) as users, round(stddev_samp(value), 6) as sd, round(median(value), 6) as med, min(value) as lo, max(value) as hi from events group by event_type")
+def fn_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "events")
+    return spark.sql("select event_type, count(*) as n, count(distinct user_id) as users, round(stddev_samp(value), 6) as sd, round(median(value), 6) as med, min(value) as lo, max(value) as hi from events group by event_type")
+
+
+@_query("fn_lists", "select p_brand, list(distinct p_size order by p_size) as sizes, string_agg(distinct p_type, '|' order by p_type) as types from part where p_size < 6 group by p_brand")
+def fn_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir, "part")
+    part = spark.table("part").where("p_size < 6")
+    return part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_size")).alias("sizes"), F.array_join(F.array_sort(F.collect_set("p_type")), "|").alias("types"))
+
+
 # applications: polynomials
 
 _FLAG = "select l_returnflag, count(*) as n from lineitem where l_quantity < 2 group by l_returnflag"

@@ -154,6 +154,17 @@ class ProvenanceSession:
         """Run the annotated query and keep nothing."""
         compose(self._cat, self._query(qid).root, self.mode)[0].write.format("noop").mode("overwrite").save()
 
+    def create_table_as(self, name: str, query: str) -> int:
+        """Write a query's result as a table, and capture the query; its id."""
+        df = self.spark.sql(query)
+        qid = self.capture(df)
+        df.write.saveAsTable(name)
+        return qid
+
+    def save_block(self, qid: int, path: str) -> None:
+        """Write a block as Parquet."""
+        self.read_block(qid).write.parquet(path)
+
     # reading
 
     def read_block(self, qid: int) -> DataFrame:
