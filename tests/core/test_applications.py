@@ -100,8 +100,7 @@ def test_asof_and_recursion(spark):
     assert (1, 4, (0, 1, 3)) in paths and (1, 1, (0, 1, 2)) in paths and (5, 6, (4,)) in paths and len(paths) == 14
 
 
-def test_output_ids_by_ranges_are_those_of_one_window(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_output_ids_by_ranges_are_those_of_one_window(spark):
     df = spark.range(500).selectExpr("(id * 7919) % 501 as x", "id")
     order = [F.col("x").desc(), F.col("id").asc()]
     a, b = (sorted(map(tuple, with_output_ids(df, order, read=e).collect())) for e in (0, 1 << 40))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.checkpoints import cut
+
 
 def reachable_lineage(edges: DataFrame, depth: int = 32) -> DataFrame:
     """(src, dst, depth int, edges array<long>) from edges (rid, src, dst): every path of at most `depth` edges that
@@ -17,7 +19,7 @@ def reachable_lineage(edges: DataFrame, depth: int = 32) -> DataFrame:
         longer = path.join(step, F.col("dst") == F.col("__from")).where(~F.array_contains("edges", F.col("__rid")))
         path = longer.select("src", F.col("__to").alias("dst"), F.lit(k).alias("depth"), F.concat("edges", F.array("__rid")).alias("edges"))
         if k % 4 == 0:
-            path = path.checkpoint()
+            path = cut(path)
         if path.isEmpty():
             break
         found = found.unionByName(path)

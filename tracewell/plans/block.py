@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.checkpoints import cut
 from tracewell.plans.annotate import Annotated, Annotator
 from tracewell.plans.catalyst import Catalyst
 from tracewell.plans.nodes import PlanNode
@@ -63,7 +63,7 @@ def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id",
         return frame.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
     marked = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
-    marked = _kept(marked)  # ranges are drawn anew each time they are computed
+    marked = cut(marked)  # ranges are drawn anew each time they are computed
     counts = marked.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__mono").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -71,17 +71,6 @@ def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id",
     return placed.withColumn(name, F.col("__mono") - F.col("__first") + F.col("__start")).drop("__part", "__mono", "__first", "__start")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; one of its own only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-checkpoint-"))
-    return df.checkpoint()
-
-
 def compose(cat: Catalyst, root: PlanNode, mode: str = "left") -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
     """The block, the result with its output_id (and columns p0, p1, ...), and (opid, table) of the block's
     columns after output_id. Rows of the result that no table row stands behind aren't in the block.
