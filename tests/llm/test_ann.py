@@ -60,3 +60,14 @@ def test_many_copies_of_one_vector(spark, monkeypatch):
     got = found(ann.search(df, ann.fit(df), F.col("vec_id") % 9 == 0))
     for q, near in got.items():
         assert [i for i, _ in near] == [i for i in (0, 3, 6, 9, 12, 15) if i != q][:5]
+
+
+def test_fewer_near_than_wanted_are_filled_up(spark):
+    """A bound or a list missed must not leave a query with fewer than k."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.fit(df)
+    index.probes = 1
+    got = found(ann.search(df, index, F.col("vec_id") % 100 == 0))
+    assert len(got) == 30 and all(len(x) == 5 for x in got.values())

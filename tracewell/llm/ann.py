@@ -5,8 +5,9 @@ the lists, a random rotation, and how many lists a query must probe for the want
 brute force within the sample. Every row is indexed. In a probed list the rotated unit vectors lie in
 column blocks; after each block a hypothesis test on the partial distance, scaled up to all dimensions,
 abandons the candidates that are almost surely farther than the k-th best so far (rotation makes any
-block of dimensions a fair sample). A query starts with a valid bound, its k-th distance within the
-sample. What is left is scored exactly, in double precision on the original vectors.
+block of dimensions a fair sample). A query starts from SEEDS vectors of the sample: its k nearest among
+these are its first finds, so that it always has k, and their k-th distance its bound. What is left is
+scored exactly, in double precision on the original vectors.
 
 A list may hold a third of all rows, and be probed by a third of all queries: lists are cut into parts of
 about PART_ROWS candidates and PART_QUERIES queries, and every pair of parts is scanned by itself.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from tracewell.llm._common import cut, need
 
 SAMPLE = 16_384
+SEEDS = 2_048
 PART_ROWS = 8_192
 PART_QUERIES = 1_024
 MAX_LISTS = 2_048
@@ -46,8 +48,8 @@ class Index:
     centroids: np.ndarray  # unit vectors
     rotation: np.ndarray
     probes: int
-    sample_ids: np.ndarray
-    sample: np.ndarray  # unit vectors
+    seed_ids: np.ndarray
+    seeds: np.ndarray  # original vectors, in double precision
 
 
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +91,10 @@ def fit(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k:
     taken = rows.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     good, x = _vectors(taken["v"].combine_chunks(), dim)
     ids, first = np.unique(taken["id"].to_numpy()[good], return_index=True)
-    x = _unit(x[first])
-    if not len(x):
+    given = x[first]
+    if not len(given):
         return None
+    x = _unit(given)
     lists = int(np.clip(np.sqrt(rows.count()) / 4, 1, min(MAX_LISTS, max(1, len(x) // 8))))
     centroids = _k_means(x, lists)
     # lists to probe: over sample queries and their nearest in the sample, the place of the neighbour's list
@@ -104,19 +107,23 @@ def fit(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k:
     places = np.sort(np.take_along_axis(place, own[nearest], 1).ravel())
     probes = int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1 if len(places) else 1
     rotation = np.linalg.qr(np.random.default_rng(8).normal(size=(dim, dim)))[0].astype(np.float32)
-    return Index(dim, centroids, rotation, probes, ids, x)
+    some = np.random.default_rng(9).permutation(len(ids))[:SEEDS]
+    return Index(dim, centroids, rotation, probes, ids[some], given[some])
 
 
-def scan(block: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
-    """Rows of a rotated block whose squared distance from a rotated query may be within the bound: all
-    but those that a test on their first dimensions gave up."""
-    dim = block.shape[1]
-    alive, so_far = np.arange(len(block)), np.zeros(len(block), np.float32)
-    for start in range(0, dim, COLUMN_BLOCK):
-        part = block[:, start : start + COLUMN_BLOCK] if start == 0 else block[alive, start : start + COLUMN_BLOCK]
-        gap = part - query[start : start + COLUMN_BLOCK]
+def column_blocks(rotated: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(rotated[:, i : i + COLUMN_BLOCK]) for i in range(0, rotated.shape[1], COLUMN_BLOCK)]
+
+
+def scan(blocks: list[np.ndarray], query: list[np.ndarray], bound: float) -> np.ndarray:
+    """Rows of rotated vectors, in column blocks, whose squared distance from a query's may be within the
+    bound: all but those that a test on their first dimensions gave up."""
+    dim, seen = sum(len(q) for q in query), 0
+    alive, so_far = np.arange(len(blocks[0])), np.zeros(len(blocks[0]), np.float32)
+    for block, part in zip(blocks, query, strict=True):
+        gap = (block if seen == 0 else block[alive]) - part
         so_far = so_far + np.einsum("ij,ij->i", gap, gap)
-        seen = min(dim, start + COLUMN_BLOCK)
+        seen += len(part)
         limit = bound + SLACK if seen == dim else bound * seen / dim * (1 + DEVIATIONS / np.sqrt(seen)) ** 2 + SLACK
         keep = so_far <= limit
         alive, so_far = alive[keep], so_far[keep]
@@ -142,21 +149,38 @@ def search(df: DataFrame, index: Index | None, is_query: Column, id_col: str = "
                 lists = (_unit(x) @ centroids.T).argmax(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lists)], ["id", "v", "asks", "list"])
 
+    def seeded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query vectors; seeds in order of nearness; scores; which seeds may count (not the query itself)."""
+        ix = shared.value
+        x = _vectors(part.column(1), ix.dim)[1]
+        sizes = np.sqrt((ix.seeds * ix.seeds).sum(axis=1))
+        score = np.stack([(ix.seeds * q).sum(axis=1) for q in x]) / (sizes * np.sqrt((x * x).sum(axis=1))[:, None])
+        score[part.column(0).to_numpy()[:, None] == ix.seed_ids] = -2
+        order = np.lexsort((np.broadcast_to(ix.seed_ids, score.shape), -score))[:, :k]
+        score = np.take_along_axis(score, order, 1)
+        return x, order, score, score > -1.5
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                x = _unit(_vectors(part.column(1), ix.dim)[1])
-                near = x @ ix.sample.T
-                near[part.column(0).to_numpy()[:, None] == ix.sample_ids] = -2
-                known = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(x), -1.0)
-                bounds = np.minimum(2 - 2 * np.maximum(known, -1), 4).astype(np.float64)
-                lists = np.argsort(-(x @ ix.centroids.T), axis=1)[:, : ix.probes].astype(np.int32)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                x, _, score, counts = seeded(part)
+                full = counts.sum(axis=1) == k
+                bounds = np.where(full, 2 - 2 * np.where(full, score[:, -1], 0), 4.0)
+                lists = np.argsort(-(_unit(x) @ ix.centroids.T), axis=1)[:, : ix.probes].astype(np.int32)
                 rows = np.repeat(np.arange(len(x)), lists.shape[1])
                 took = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(bounds[rows]), pa.array(lists.ravel())], ["id", "v", "bound", "list"])
 
+    def first_finds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                _, order, score, counts = seeded(part)
+                ids = np.repeat(part.column(0).to_numpy(), counts.sum(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shared.value.seed_ids[order[counts]]), pa.array(score[counts])], ["query_id", "vec_id", "score"])
+
     def nearest(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
         ix = shared.value
         ids = candidates.column("id").to_numpy()
@@ -165,14 +189,14 @@ def search(df: DataFrame, index: Index | None, is_query: Column, id_col: str = "
             ids, first = np.unique(ids, return_index=True)
             x = _vectors(candidates.column("v").combine_chunks(), ix.dim)[1][first]
             q = _vectors(queries.column("v").combine_chunks(), ix.dim)[1]
-            block, asked = _unit(x) @ ix.rotation, _unit(q) @ ix.rotation
+            blocks, asked = column_blocks(_unit(x) @ ix.rotation), column_blocks(_unit(q) @ ix.rotation)
             norms = np.sqrt((x * x).sum(axis=1))
             done = set()
             for i, (qid, bound) in enumerate(zip(queries.column("id").to_pylist(), queries.column("bound").to_pylist(), strict=True)):
                 if qid in done:
                     continue
                 done.add(qid)
-                left = scan(block, asked[i], bound)
+                left = scan(blocks, [a[i] for a in asked], bound)
                 left = left[ids[left] != qid]
                 score = (x[left] * q[i]).sum(axis=1) / (norms[left] * np.sqrt((q[i] * q[i]).sum()))
                 best = np.lexsort((ids[left], -score))[:k]
@@ -183,7 +207,8 @@ def search(df: DataFrame, index: Index | None, is_query: Column, id_col: str = "
 
     given = df.where(df[id_col].isNotNull()).select(df[id_col].cast("long").alias("id"), df[vector_col].alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = cut(given.mapInArrow(assign, f"id long, v {kind}, asks boolean, list int"))
-    asked = rows.where("asks").select("id", "v").mapInArrow(probe, f"id long, v {kind}, bound double, list int")
+    queries = rows.where("asks").select("id", "v")
+    asked = queries.mapInArrow(probe, f"id long, v {kind}, bound double, list int")
     # at most MAX_LISTS rows: into how many parts each list is cut
     sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("c_parts"))
     asks = asked.groupBy("list").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("q_parts"))
@@ -191,9 +216,9 @@ def search(df: DataFrame, index: Index | None, is_query: Column, id_col: str = "
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     candidates = rows.join(parts, "list").select("list", part(F.col("c_parts")).alias("c"), each("q_parts").alias("q"), "id", "v")
-    queries = asked.join(parts, "list").select("list", each("c_parts").alias("c"), part(F.col("q_parts")).alias("q"), "id", "v", "bound")
+    probing = asked.join(parts, "list").select("list", each("c_parts").alias("c"), part(F.col("q_parts")).alias("q"), "id", "v", "bound")
     keys = ("list", "c", "q")
-    found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(nearest, out_schema)
+    found = candidates.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInArrow(nearest, out_schema).unionByName(queries.mapInArrow(first_finds, out_schema))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
