@@ -1,8 +1,7 @@
-"""What the operators share: reading tables, cutting lineage, Arrow batches cut to a size."""
+"""What the operators share: reading tables, ids, column names, Arrow batches cut to a size."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.checkpoints import cut
+
 #: The bytes that part words and are stripped from lines: space and \t \n \v \f \r.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: What stands for a null id inside an operator; it sorts below every other id.
@@ -36,23 +37,6 @@ def null_id_back(c: Column) -> Column:
     return F.when(c != F.lit(NULL_ID), c)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; set one only where none is named, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared checkpoint folder: computed once, no lineage behind them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def pieces_of(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose strings hold about most_bytes, or one row."""
     at = batch.schema.get_field_index(column)
@@ -80,3 +64,6 @@ def by_place(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def place_of(df: DataFrame, name: str) -> str:
     return f"c{[c.lower() for c in df.columns].index(name.lower())}"
+
+
+__all__ = ["ASCII_SPACE", "NULL_ID", "by_place", "cut", "id_column", "need", "null_id_back", "pieces_of", "place_of", "table", "texts"]
