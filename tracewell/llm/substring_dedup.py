@@ -120,6 +120,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shards = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
     given = docs.select(id_column(id_col).alias("id"), docs[text_col].alias("text"))
     given = given.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    given = given.repartition(shards, "b")  # as many tasks as buckets, whatever the session's setting
 
     def words_of(table: pa.Table) -> Iterable[tuple[int, list[bytes]]]:
         for batch in table.to_batches(max_chunksize=256):
@@ -202,8 +203,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     buckets = given.groupBy("b")
     seeds = buckets.applyInArrow(send_anchors, "shard long, b long, hashes binary")
-    shared = seeds.groupBy("shard").applyInArrow(return_anchors, "b long, hashes binary")
+    shared = seeds.repartition(shards, "shard").groupBy("shard").applyInArrow(return_anchors, "b long, hashes binary")
     windows = buckets.cogroup(shared.groupBy("b")).applyInArrow(send_windows, "shard long, b long, hashes binary, checks binary, ids binary")
-    later = windows.groupBy("shard").applyInArrow(return_windows, "b long, hashes binary")
+    later = windows.repartition(shards, "shard").groupBy("shard").applyInArrow(return_windows, "b long, hashes binary")
     out = buckets.cogroup(later.groupBy("b")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string, repeats array<struct<start:int,end:int>>")
     return out.select(null_id_back(F.col("id")).alias(id_col), "n_words", "n_removed", "kept", "repeats")
