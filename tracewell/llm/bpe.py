@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from tracewell.llm._common import need, pieces_of, texts
 
 LONG_PIECE = 1024
 CACHED_PIECE = 64
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 MATRIX_CELLS = 1 << 20
 #: Texts over so many characters are split piecewise, so that their pieces never stand in memory at once.
 WHOLE_SPLIT = 1 << 20
@@ -92,27 +92,30 @@ class Encoder:
         self.tokens = tokens
         self.ranks = {t: r for r, t in enumerate(tokens)}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.uint16)
+        self.packed = [r.to_bytes(4, "little") for r in range(len(tokens))]
         self.pairs = PairTable(tokens, self.ranks)
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
 
-    def merge_matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
-        """The ids of pieces of at most width bytes, two bytes at least each."""
+    def merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The packed ids of pieces of at most width bytes, two bytes at least each."""
         n = len(pieces)
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         lengths = np.fromiter(map(len, pieces), np.int64, n)
         ids = np.full((n, width), PAD, np.uint16)
         ids[np.arange(width) < lengths[:, None]] = self.byte_ids[flat]
         ranks = self.pairs.rank(ids[:, :-1], ids[:, 1:])
-        rows, out = np.arange(n), [np.empty(0, np.uint16)] * n
+        rows, out = np.arange(n), [b""] * n
         while rows.size:
             at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(rows.size, np.int64)
             each = np.arange(rows.size)
             best = ranks[each, at] if ranks.shape[1] else np.full(rows.size, NO_RANK)
             done = best == NO_RANK
             if done.any():
-                for k in np.flatnonzero(done):
-                    out[rows[k]] = ids[k, : lengths[rows[k]]].copy()
+                ended, packed, at_byte = rows[done], ids[done].astype("<u4").tobytes(), 0
+                for r, size in zip(ended.tolist(), (4 * lengths[ended]).tolist(), strict=True):
+                    out[r] = packed[at_byte : at_byte + size]
+                    at_byte += 4 * ids.shape[1]
                 keep = ~done
                 rows, ids, ranks, at, best = rows[keep], ids[keep], ranks[keep], at[keep], best[keep]
                 if not rows.size:
@@ -160,10 +163,11 @@ class Encoder:
         """Ids of distinct pieces, packed as little-endian unsigned 32-bit integers."""
         out: dict[str, bytes] = {}
         buckets: dict[int, list[tuple[str, bytes]]] = {}
+        find = self.ranks.get
         for p in pieces:
             b = p.encode()
-            if (whole := self.ranks.get(b)) is not None:
-                out[p] = whole.to_bytes(4, "little")
+            if (whole := find(b)) is not None:
+                out[p] = self.packed[whole]
             elif len(b) > LONG_PIECE:
                 out[p] = self.merge_long(b).astype("<u4").tobytes()
             else:
@@ -173,26 +177,30 @@ class Encoder:
             step = max(1, MATRIX_CELLS // width)
             for at in range(0, len(found), step):
                 part = found[at : at + step]
-                for (p, _), ids in zip(part, self.merge_matrix([b for _, b in part], width), strict=True):
-                    out[p] = ids.astype("<u4").tobytes()
+                out.update(zip((p for p, _ in part), self.merge_matrix([b for _, b in part], width), strict=True))
         return out
 
     def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Encode what the cache lacks; returns the long ones, which the cache doesn't keep."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = self.encode_pieces({*pieces} - self.cache.keys())
-        self.cache.update((p, x) for p, x in new.items() if len(p) <= CACHED_PIECE)
-        return {p: x for p, x in new.items() if len(p) > CACHED_PIECE}
+        new = self.encode_pieces({*pieces}.difference(self.cache))
+        long = {p: x for p, x in new.items() if len(p) > CACHED_PIECE}
+        for p in long:
+            del new[p]
+        self.cache.update(new)
+        return long
 
     def _joined(self, pieces: list[str], long: dict[str, bytes]) -> bytes:
+        if not long:
+            return b"".join(map(self.cache.__getitem__, pieces))
         get = self.cache.get
         return b"".join([get(p) or long[p] for p in pieces])
 
     def encode(self, batch: list[str]) -> list[bytes]:
         out = [b""] * len(batch)
         split = {i: self.pattern.findall(t) for i, t in enumerate(batch) if len(t) <= WHOLE_SPLIT}
-        long = self._learn(p for s in split.values() for p in s)
+        long = self._learn(chain.from_iterable(split.values()))
         for i, s in split.items():
             out[i] = self._joined(s, long)
         for i, t in enumerate(batch):
