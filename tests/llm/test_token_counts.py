@@ -16,7 +16,7 @@ def test_counts_equal_the_library(spark, odd_docs):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abé日🙂 \n\t▁the<s>\x00") for _ in range(rng.randint(0, 120))) for _ in range(400)]
     texts += ["", " ", "   ", "\n", "▁", "</s> <unk> <0x0A>", "a" * 3000]
-    assert [lengths.of(x) for x in texts] == [len(ref.encode(x)) for x in texts]
+    assert lengths.of(texts) == lengths.of(texts) == [len(ref.encode(x)) for x in texts]
     want = sorted((r["doc_id"] or -1, len((r["text"] or "").encode()), len(ref.encode(r["text"] or ""))) for r in odd_docs.collect())
     assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"]) for r in t.token_counts(odd_docs, MODEL).collect()) == want
     assert t.token_counts(odd_docs.limit(0), MODEL).count() == 0
@@ -29,7 +29,7 @@ def test_a_full_cache_and_split_texts_change_nothing(monkeypatch):
     with open(MODEL, "rb") as f:
         lengths = t.Lengths(f.read(), {" the": 1})
     text = "the quick brown fox jumps over the lazy dog\nand then some more of it " * 5
-    assert lengths.of(text) == len(ref.encode(text))
+    assert lengths.of([text, "short", text[:29]]) == [len(ref.encode(x)) for x in (text, "short", text[:29])]
 
 
 def test_frequent_table_is_bounded_and_counts_all(spark):

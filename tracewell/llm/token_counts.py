@@ -17,7 +17,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from tracewell.llm._common import need, pieces_of, texts
 
 SPACE = "▁"
 CACHED = 64
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 WHOLE_SPLIT = 1 << 20
 PRE_TOKEN = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
@@ -61,26 +61,49 @@ class Lengths(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=spec)
         self.safe = cuts_are_safe(self.model, spec)
 
-    def counted(self, pre_token: str) -> int:
-        if pre_token[0] == "\n":  # the space that the library puts before it is a token of its own
-            return len(self.model.encode(pre_token, num_threads=1)) - 1
-        return len(self.model.encode(pre_token[1:], num_threads=1)) if len(pre_token) > 1 else 1
-
-    def __missing__(self, pre_token: str) -> int:
-        n = self.counted(pre_token)
-        if len(pre_token) <= CACHED:
-            if len(self) > CACHE_ENTRIES:
-                self.clear()
-                self.update(self.frequent)
-            self[pre_token] = n
-        return n
-
-    def of(self, text: str) -> int:
-        if not text:
-            return 0
+    def counted(self, pre_tokens: Iterable[str]) -> dict[str, int]:
+        """Counts by the library. It puts a space before each text: that is the pre-token's own first
+        space; before a newline it is a token of its own."""
+        spaced = [p for p in pre_tokens if p[0] == " " and len(p) > 1]
+        broken = [p for p in pre_tokens if p[0] == "\n"]
+        out = dict(zip(spaced, map(len, self.model.encode([p[1:] for p in spaced], num_threads=1)), strict=True)) if spaced else {}
+        if broken:
+            out.update((p, len(ids) - 1) for p, ids in zip(broken, self.model.encode(broken, num_threads=1), strict=True))
+        if " " in pre_tokens:
+            out[" "] = 1
+        return out
+
+    def learn(self, pre_tokens: Iterable[str]) -> dict[str, int]:
+        """Have the library count what both tiers lack; returns the long ones, which aren't kept."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+            self.update(self.frequent)
+        new = self.counted({*pre_tokens}.difference(self))
+        long = {p: n for p, n in new.items() if len(p) > CACHED}
+        for p in long:
+            del new[p]
+        self.update(new)
+        return long
+
+    def _sum(self, pre_tokens: list[str], long: dict[str, int]) -> int:
+        if not long:
+            return sum(map(self.__getitem__, pre_tokens))
+        get = self.get
+        return sum([get(p) or long[p] for p in pre_tokens])
+
+    def of(self, texts: list[str]) -> list[int]:
+        """The texts' counts."""
         if not self.safe:
-            return len(self.model.encode(text, num_threads=1))
-        return sum(sum(map(self.__getitem__, part)) for part in split(text))
+            return [len(ids) for ids in self.model.encode(texts, num_threads=1)] if texts else []
+        out = [0] * len(texts)
+        short = {i: next(split(t)) for i, t in enumerate(texts) if t and len(t) < WHOLE_SPLIT}
+        long = self.learn(chain.from_iterable(short.values()))
+        for i, found in short.items():
+            out[i] = self._sum(found, long)
+        for i, t in enumerate(texts):
+            if t and i not in short:
+                out[i] = sum(self._sum(part, self.learn(part)) for part in split(t))
+        return out
 
 
 def _most(c: Counter, n: int) -> Counter:
@@ -134,7 +157,7 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     with open(model, "rb") as f:
         spec = f.read()
     own = Lengths(spec, {})
-    table = Packed({w: own.counted(w) for w in frequent_pre_tokens(df, text_col, frequent, kept)} if own.safe else {})
+    table = Packed(own.counted({*frequent_pre_tokens(df, text_col, frequent, kept)}) if own.safe else {})
     shared = df.sparkSession.sparkContext.broadcast((spec, table))
     kind, key = dict(df.dtypes)[id_col], shared._jbroadcast.id()
 
@@ -147,7 +170,7 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part in pieces_of(batch, "text"):
                 sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
-                counts = pa.array([lengths.of(t) for t in texts(part)], pa.int64())
+                counts = pa.array(lengths.of(texts(part)), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), sizes, counts], [id_col, "n_bytes", "n_tokens"])
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
