@@ -147,6 +147,11 @@ _lineage(
     """select row_number() over (order by s_suppkey, p_partkey) - 1 as output_id, su.rid as supplier_rid, pa.rid as part_rid
     from su join pa on s_acctbal > p_retailprice * 4 and s_suppkey < 20""",
 )
+_lineage(
+    "lin_theta_all", "select s_suppkey, p_partkey from supplier join part on s_acctbal > p_retailprice * 4", ["supplier_rid", "part_rid"],
+    """select row_number() over (order by s_suppkey, p_partkey) - 1 as output_id, su.rid as supplier_rid, pa.rid as part_rid
+    from su join pa on s_acctbal > p_retailprice * 4""",
+)
 _lineage(
     "lin_semi", "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 49)", ["orders_rid"],
     """select row_number() over (order by o_orderkey, rid) - 1 as output_id, rid as orders_rid from od
@@ -535,6 +540,12 @@ def trace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.forward(block, s.block_columns(0, "customer")[0], _base(spark, sf_dir, "customer").where("rid % 10 = 0"))
 
 
+@_query("trace_forward_all", f"{_WITH}, {_NATION_SQL} select distinct c as rid, output_id from b")
+def trace_forward_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, block = _block(spark, sf_dir, _NATION)
+    return trace.forward(block, s.block_columns(0, "customer")[0], _base(spark, sf_dir, "customer"))
+
+
 @_query("cross_filter", f"{_WITH}, {_FLAG_SQL}, o as (select dense_rank() over (order by l_linestatus) - 1 as output_id, rid from li) select o.output_id, count(*) as n from o where rid in (select l from b where output_id = 1) group by o.output_id")
 def cross_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, block = _block(spark, sf_dir, _FLAG)
