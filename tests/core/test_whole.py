@@ -5,6 +5,7 @@ import re
 import duckdb
 
 from tracewell import queries
+from tracewell.operators.recursive import reachable_lineage
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,3 +30,16 @@ def test_a_theta_join_of_all_suppliers(spark):
 def test_a_trace_from_all_customers(spark):
     got, want = both(spark, "trace_forward_all")
     assert got == want and any(r[0] % 10 for r in got)
+
+
+def test_recursion_over_the_whole_table(spark):
+    got, want = both(spark, "lin_recursive_all")
+    two, _ = both(spark, "lin_recursive")
+    assert got == want and set(two) < set(got)
+
+
+def test_paths_of_more_than_32_edges(spark):
+    edges = spark.createDataFrame([(i, i, i + 1) for i in range(36)], "rid long, src long, dst long").coalesce(1)
+    paths = reachable_lineage(edges).collect()
+    assert len(paths) == 36 * 37 // 2 and {tuple(r["edges"]) for r in paths if r["depth"] == 36} == {tuple(range(36))}
+    assert max(r["depth"] for r in reachable_lineage(edges, depth=3).collect()) == 3

@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.checkpoints import cut
 
+#: Rounds that are kept as one checkpoint, so that the plan doesn't grow with each round.
+TOGETHER = 32
+
 
-def reachable_lineage(edges: DataFrame, depth: int = 32) -> DataFrame:
-    """(src, dst, depth int, edges array<long>) from edges (rid, src, dst): every path of at most `depth` edges that
-    passes no edge twice, with the row ids of its edges in order. Each round is a join of the last round's
-    paths; rounds end when none is new. Every fourth round is checkpointed."""
+def reachable_lineage(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(src, dst, depth int, edges array<long>) from edges (rid, src, dst): every path that passes no edge twice, with
+    the row ids of its edges in order; with a depth, those of at most so many edges. Each round is a join of the
+    last round's paths; rounds end when none is new, which the rule on edges makes sure of. Every fourth round is checkpointed."""
     path = edges.select("src", "dst", F.lit(1).alias("depth"), F.array("rid").alias("edges"))
     step = edges.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), F.col("rid").alias("__rid"))
-    found = path
-    for k in range(2, depth + 1):
+    kept, found = [], [path]
+    for k in count(2):
+        if depth is not None and k > depth:
+            break
         longer = path.join(step, F.col("dst") == F.col("__from")).where(~F.array_contains("edges", F.col("__rid")))
         path = longer.select("src", F.col("__to").alias("dst"), F.lit(k).alias("depth"), F.concat("edges", F.array("__rid")).alias("edges"))
         if k % 4 == 0:
             path = cut(path)
         if path.isEmpty():
             break
-        found = found.unionByName(path)
-    return found
+        found.append(path)
+        if len(found) == TOGETHER:
+            kept.append(cut(reduce(DataFrame.unionByName, found)))
+            found = []
+    return reduce(DataFrame.unionByName, kept + found)

@@ -339,6 +339,20 @@ def lin_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("src", "dst", F.explode("edges").alias("edge_rid")).distinct()
 
 
+@_query(
+    "lin_recursive_all",
+    f"""with recursive na as {_rid('nation')}, e as (select rid, cast(n_nationkey as bigint) as src, cast((n_nationkey * 7 + 3) % 25 as bigint) as dst from na),
+    p as (select src, dst, [rid] as edges from e union all select p.src, e.dst, list_append(p.edges, e.rid) from p join e on p.dst = e.src where not list_contains(p.edges, e.rid))
+    select distinct src, dst, unnest(edges) as edge_rid from p""",
+)
+def lin_recursive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths that pass no edge twice, with the edges on them."""
+    from tracewell.operators.recursive import reachable_lineage
+
+    edges = _base(spark, sf_dir, "nation").select("rid", F.col("n_nationkey").cast("long").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("dst"))
+    return reachable_lineage(edges).select("src", "dst", F.explode("edges").alias("edge_rid")).distinct()
+
+
 # the workload under capture
 
 _lineage(
