@@ -3,9 +3,12 @@
 import re
 
 import duckdb
+import pytest
 
 from tracewell import queries
+from tracewell.operators import trace
 from tracewell.operators.recursive import reachable_lineage
+from tracewell.session import ProvenanceSession
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,3 +46,36 @@ def test_paths_of_more_than_32_edges(spark):
     paths = reachable_lineage(edges).collect()
     assert len(paths) == 36 * 37 // 2 and {tuple(r["edges"]) for r in paths if r["depth"] == 36} == {tuple(range(36))}
     assert max(r["depth"] for r in reachable_lineage(edges, depth=3).collect()) == 3
+
+
+def test_edges_of_each_operator(spark):
+    got, want = both(spark, "global_lineage_all")
+    assert got == want and {r[:2] for r in got} >= {("LOGICAL_JOIN", "LOGICAL_AGGREGATE"), ("customer", "LOGICAL_JOIN")}
+
+
+COMPOSED = [
+    ("select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by n_name order by n desc, n_name limit 9", "left"),
+    ("select c, count(*) as m from (select c_nationkey, count(*) as c from customer left join orders on c_custkey = o_custkey and o_totalprice > 250000 group by c_nationkey) t group by c", "left"),
+    ("select n_name, c, r_name from nation join region on n_regionkey = r_regionkey join (select c_nationkey, count(*) as c from customer where c_acctbal > 9000 group by c_nationkey) t on n_nationkey = c_nationkey", "left"),
+    ("select n_regionkey, count(distinct n_name) as d, count(distinct c_mktsegment) as e from customer join nation on c_nationkey = n_nationkey group by rollup(n_regionkey)", "left"),
+    ("select n_name as x from nation join region on n_regionkey = r_regionkey union all select c_mktsegment from customer where c_custkey in (select o_custkey from orders where o_totalprice > 250000)", "left"),
+    ("select n_name from nation where n_regionkey in (select r_regionkey from region join customer on r_regionkey = c_custkey) and n_nationkey > (select max(r_regionkey) from region)", "full"),
+    ("select n_name from nation where n_nationkey > 20", "left"),
+    ("select * from nation", "left"),
+]
+
+
+@pytest.mark.parametrize(("sql", "mode"), COMPOSED)
+def test_composed_edges_are_the_block(spark, sql, mode):
+    for t in ("nation", "region", "customer", "orders"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").createOrReplaceTempView(t)
+    s = ProvenanceSession(spark, mode)
+    s.set_persist_lineage(False)
+    qid = s.capture(spark.sql(sql))
+    edges = s.global_lineage(qid).persist()
+    found = {(r["source_opid"], r["out_rowid"], tuple(r["prov"])) for r in trace.end_to_end(edges).collect()}
+    assert found == {(int(r["source"].split("_")[1]), r["output_id"], tuple(r["rids"])) for r in trace.backward(s.read_block(qid)).collect()}
+    pairs = {(r["sink_opid"], r["source_opid"]) for r in edges.collect()}
+    if s.plan(qid).children:
+        operators = [n for n in s.plan(qid).walk() if n.materializes and n.opid in {p[1] for p in pairs}]
+        assert {(n.opid, c) for n in operators for c in n.source_opids if c in {p[1] for p in pairs}} <= pairs

@@ -48,6 +48,14 @@ class Annotated:
         return [x.attribute for x in self.lineage] + self.identity
 
 
+@dataclass
+class Kept:
+    """An operator's own rows, under its attributes, with an id each."""
+
+    plan: Any
+    lineage: Lineage
+
+
 #: Operators through which rows pass one by one.
 PASSING = {"Filter", "Sort", "SubqueryAlias", "Repartition", "RepartitionByExpression", "RebalancePartitions", "ResolvedHint", "View"}
 #: Operators that count, order or draw rows, or make several of one.
@@ -57,15 +65,20 @@ LEFT_ONLY = {"LEFT ANTI", "EXISTENCE"}
 
 
 class Annotator:
-    def __init__(self, cat: Catalyst, mode: str = "left", carry: list[Any] | None = None):
+    def __init__(self, cat: Catalyst, mode: str = "left", carry: list[Any] | None = None, kept: dict[int, Kept] | None = None):
         if mode not in ("left", "full"):
             raise ValueError("mode is left or full")
         self.cat, self.mode = cat, mode
         #: Attributes that projections must not drop, such as sort keys that aren't in the result.
         self.carry = carry or []
+        #: By opid, operators whose rows are kept with an id each: they are read like tables.
+        self.kept = kept or {}
 
     def walk(self, n: PlanNode, witness: bool) -> Annotated:
         """With witness: every row with its row ids. Without: the plan's own rows, with an identity each."""
+        if n.opid in self.kept:
+            own = self.kept[n.opid]
+            return Annotated(own.plan, [own.lineage] if witness else [], [own.lineage.attribute])
         if n.name == "OneRowRelation":
             return Annotated(n.node, [], [])
         if not n.children:
@@ -82,17 +95,25 @@ class Annotator:
         single inputs leads from the root to an aggregate, that join does what theirs would do, and the aggregate's
         annotated input with its grouping keys is enough."""
         at = n
-        while at.name in PASSING or at.name in COUNTING or at.name == "Project":
+        while at.opid not in self.kept and (at.name in PASSING or at.name in COUNTING or at.name == "Project"):
             if self.mode == "full" and at.subqueries:
                 break
             at = at.children[0]
-        if at.name != "Aggregate":
+        if at.name != "Aggregate" or at.opid in self.kept:
             return self.walk(n, True)
         below, keys = self._aggregate_input(at)
         named = [self.cat.named(k, f"__w{i}") for i, k in enumerate(keys)]
         plan = self.cat.project(named + [x.attribute for x in below.lineage], below.plan)
         return Annotated(plan, below.lineage, [self.cat.attribute(k) for k in named], True)
 
+    def sides(self, n: PlanNode) -> list[PlanNode]:
+        """The inputs whose rows an operator's rows are traced to."""
+        if n.opid in self.kept:
+            return []
+        kind = n.join_type.upper()
+        left = any(kind.startswith(k) for k in LEFT_ONLY) or (kind == "LEFT SEMI" and self.mode != "full")
+        return (n.children[:1] if left else n.children) + (n.subqueries if self.mode == "full" else [])
+
     def _leaf(self, n: PlanNode, witness: bool) -> Annotated:
         frame = with_row_ids(self.cat.frame(n.node), "__rid", n.name)
         plan = self.cat.analyzed(frame)
@@ -160,7 +181,8 @@ class Annotator:
     def _aggregate(self, n: PlanNode, witness: bool) -> Annotated:
         keys = self.cat.items(n.node.groupingExpressions())
         named = [self.cat.named(k, f"__k{i}") for i, k in enumerate(keys)]
-        plain = self.cat.aggregate(keys, self.cat.items(n.node.aggregateExpressions()) + named, n.node)
+        like = self.cat.with_children(n.node, [self.walk(n.children[0], False).plan]) if self.kept else n.node
+        plain = self.cat.aggregate(keys, self.cat.items(n.node.aggregateExpressions()) + named, like)
         values = Annotated(plain, [], [self.cat.attribute(k) for k in named])
         if not witness:
             return values

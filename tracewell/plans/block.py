@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.checkpoints import cut
-from tracewell.plans.annotate import Annotated, Annotator
+from tracewell.plans.annotate import Annotated, Annotator, Kept, Lineage
 from tracewell.plans.catalyst import Catalyst
 from tracewell.plans.nodes import PlanNode
 
@@ -71,15 +71,48 @@ def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id",
     return placed.withColumn(name, F.col("__mono") - F.col("__first") + F.col("__start")).drop("__part", "__mono", "__first", "__start")
 
 
-def compose(cat: Catalyst, root: PlanNode, mode: str = "left") -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
+def operator_edges(cat: Catalyst, root: PlanNode, mode: str = "left") -> list[tuple[PlanNode, int, str, DataFrame]]:
+    """(operator, opid and table of a source, edges) for each source of each operator that materializes; edges are
+    (out_rowid, in_rowid). A source is a table, or the next operator below that materializes, as LOGICAL_<name>.
+
+    Operators below the root keep their rows in checkpoints, numbered from 0 in order of their identity (a join's by
+    the ids of the rows joined, an aggregate's by its keys), so that the operator above reads them like a table and
+    the root's rows have the ids they have in the block."""
+    kept: dict[int, Kept] = {}
+    out = []
+
+    def visit(n: PlanNode) -> None:
+        for c in Annotator(cat, mode).sides(n):
+            visit(c)
+        if not n.materializes or not n.children:
+            return
+        block, rows, columns = compose(cat, n, mode, kept, n is not root)
+        if n is not root:
+            attributes = list({cat.id_of(a): (k, a) for k, a in reversed([*enumerate(cat.output(n.node))])}.values())
+            frame = cut(rows.select(*(f"p{k}" for k, _ in attributes), "output_id"))
+            *values, rid = cat.output(cat.analyzed(frame))
+            rid = cat.named(rid, "__rid")
+            plan = cat.project([cat.named_as(v, a) for v, (_, a) in zip(values, attributes, strict=True)] + [rid], cat.analyzed(frame))
+            kept[n.opid] = Kept(plan, Lineage(n.opid, f"LOGICAL_{n.name.upper()}", cat.attribute(rid)))
+        for opid, table in columns:
+            edges = block.select(F.col("output_id").alias("out_rowid"), F.col(f"opid_{opid}_{table}").alias("in_rowid"))
+            out.append((n, opid, table, edges.where("in_rowid is not null").distinct()))
+
+    visit(root)
+    return out
+
+
+def compose(cat: Catalyst, root: PlanNode, mode: str = "left", kept: dict[int, Kept] | None = None, by_identity: bool = False) -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
     """The block, the result with its output_id (and columns p0, p1, ...), and (opid, table) of the block's
     columns after output_id. Rows of the result that no table row stands behind aren't in the block.
 
     If rows may have several witnesses, the result is computed and kept first; if it is small, its ids are
-    broadcast and the witnesses are neither shuffled nor sorted."""
+    broadcast and the witnesses are neither shuffled nor sorted.
+
+    kept: operators that are read like tables; by_identity: ids in order of the rows' identity alone."""
     sort = _root_sort(cat, root)
     carry = [a for o in cat.items(sort.order()) for a in cat.references(o)] if sort is not None else []
-    annotator = Annotator(cat, mode, carry)
+    annotator = Annotator(cat, mode, carry, kept)
     a = annotator.root_witnesses(root)
     order_of = sorted(range(len(a.lineage)), key=lambda k: a.lineage[k].opid)
     columns = [(a.lineage[k].opid, a.lineage[k].table) for k in order_of]
@@ -87,6 +120,8 @@ def compose(cat: Catalyst, root: PlanNode, mode: str = "left") -> tuple[DataFram
     read = sum(int(str(n.node.stats().sizeInBytes())) for n in root.leaves())
     values = _named(cat, root, annotator.walk(root, False) if a.multiplied else a, sort)
     order = [*values.sort, *(F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.payload + values.identity))]
+    if by_identity and values.identity:
+        order = [F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.identity)]
     numbered = with_output_ids(values.frame, order, read=read)
     if not a.multiplied:
         block = numbered.select("output_id", *named)

@@ -77,6 +77,11 @@ class Catalyst:
         new_id = self.expressions.NamedExpression.newExprId()
         return self.expressions.Alias(expression, name, new_id, self.seq([]), none, self.seq([]))
 
+    def named_as(self, expression, attribute):
+        """The expression under an attribute's name and expression id."""
+        none = getattr(getattr(self.jvm, "scala"), "None$").__getattr__("MODULE$")
+        return self.expressions.Alias(expression, attribute.name(), attribute.exprId(), self.seq([]), none, self.seq([]))
+
     def attribute(self, alias):
         return alias.toAttribute()
 

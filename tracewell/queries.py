@@ -569,6 +569,18 @@ def cross_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("global_lineage", f"{_WITH}, {_NATION_SQL} select 'LOGICAL_AGGREGATE' as source_table, '' as sink_table, output_id as out_rowid, output_id as in_rowid from (select distinct output_id from b) union all select distinct 'customer', 'LOGICAL_AGGREGATE', output_id, c from b union all select distinct 'nation', 'LOGICAL_AGGREGATE', output_id, n from b")
 def global_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without inner operators."""
+    s, _ = _block(spark, sf_dir, _NATION)
+    return s.top_lineage(0).select("source_table", "sink_table", "out_rowid", "in_rowid")
+
+
+@_query(
+    "global_lineage_all",
+    f"""{_WITH}, b as (select dense_rank() over (order by n_name) - 1 as output_id, row_number() over (order by cu.rid, na.rid) - 1 as j, cu.rid as c, na.rid as n from cu join na on c_nationkey = n_nationkey where c_acctbal > 9500)
+    select distinct 'LOGICAL_AGGREGATE' as source_table, '' as sink_table, output_id as out_rowid, output_id as in_rowid from b union all select 'LOGICAL_JOIN', 'LOGICAL_AGGREGATE', output_id, j from b
+    union all select 'customer', 'LOGICAL_JOIN', j, c from b union all select 'nation', 'LOGICAL_JOIN', j, n from b""",
+)
+def global_lineage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, _ = _block(spark, sf_dir, _NATION)
     return s.global_lineage(0).select("source_table", "sink_table", "out_rowid", "in_rowid")
 

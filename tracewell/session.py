@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import semirings
 from tracewell.operators import explain, interventions
 from tracewell.plans import nodes
-from tracewell.plans.block import compose
+from tracewell.plans.block import compose, operator_edges
 from tracewell.plans.catalyst import Catalyst
 from tracewell.sources.row_ids import with_row_ids
 
@@ -204,7 +204,29 @@ class ProvenanceSession:
         return self.spark.createDataFrame(rows, "query_id int, size_mb double, plan string")
 
     def global_lineage(self, qid: int) -> DataFrame:
-        """(source_table, sink_table, source_opid, sink_opid, out_rowid, in_rowid): edges between result rows
+        """(source_table, sink_table, source_opid, sink_opid, out_rowid, in_rowid): the edges of each operator that
+        materializes (lineage_meta() names them) between its rows and those of its sources, tables or operators;
+        result rows, by their output_id, are the root's and have sink -1. Composing them gives the block."""
+        q = self._query(qid)
+        edge = "source_table string, sink_table string, source_opid int, sink_opid int, out_rowid long, in_rowid long"
+        out = self.spark.createDataFrame([], edge)
+        label = f"LOGICAL_{q.root.name.upper()}"
+
+        def add(frame: DataFrame, source: tuple[str, int], sink: tuple[str, int]) -> DataFrame:
+            named = F.lit(source[0]).alias("source_table"), F.lit(sink[0]).alias("sink_table"), F.lit(source[1]).alias("source_opid"), F.lit(sink[1]).alias("sink_opid")
+            return out.unionByName(frame.select(*named, "out_rowid", "in_rowid"))
+
+        block = self.read_block(qid)
+        if not q.root.children:
+            return self.top_lineage(qid)
+        ids = block.select(F.col("output_id").alias("out_rowid"), F.col("output_id").alias("in_rowid")).distinct()
+        out = add(ids, (label, 0), ("", -1))
+        for n, opid, table, edges in operator_edges(self._cat, q.root, self.mode):
+            out = add(edges, (table, opid), (f"LOGICAL_{n.name.upper()}", n.opid))
+        return out
+
+    def top_lineage(self, qid: int) -> DataFrame:
+        """The columns of global_lineage in a shorter form without inner operators: edges between result rows
         and the last materializing operator (sink -1), and from that to rows of the tables. A row of the
         last materializing operator goes by the id of the result row that it is."""
         block = self.read_block(qid)
