@@ -71,3 +71,21 @@ def test_fewer_near_than_wanted_are_filled_up(spark):
     index.probes = 1
     got = found(ann.search(df, index, F.col("vec_id") % 100 == 0))
     assert len(got) == 30 and all(len(x) == 5 for x in got.values())
+
+
+def test_recall_of_the_lists_without_seeds(spark, monkeypatch):
+    """Many more vectors than seeds, and so few seeds that what is found is found by the scan."""
+    monkeypatch.setattr(ann, "SEEDS", 16)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 32))
+    rows = [(i, (centres[i % 60] + 0.5 * rng.normal(size=32)).tolist()) for i in range(9000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.fit(df)
+    assert len(index.seed_ids) == 16
+    got = found(ann.search(df, index, F.col("vec_id") % 150 == 0))
+    want = exact(rows, [i for i, _ in rows if i % 150 == 0])
+    assert got.keys() == want.keys()
+    seeds = set(index.seed_ids.tolist())
+    true = {q: {i for i, _ in want[q]} - seeds for q in want}
+    hits = sum(len({i for i, _ in got[q]} & true[q]) for q in want)
+    assert hits / sum(map(len, true.values())) >= 0.9
