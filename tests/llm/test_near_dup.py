@@ -76,3 +76,18 @@ def test_components_of_a_long_chain(spark):
 
 def test_runs_follow_from_the_recall():
     assert nd.runs_needed(0.8, 0.995, 1) < nd.runs_needed(0.8, 0.995, nd.DEPTH) < 20
+
+
+def test_runs_for_signatures_that_all_runs_share():
+    """Pairs at the threshold, drawn anew with their signatures, meet in a last node as often as is asked for."""
+    rng = random.Random(7)
+    runs, met, pairs = nd.runs_needed(0.8, 0.995, nd.DEPTH), 0, 40_000
+    for _ in range(pairs):
+        equal = sum(rng.random() < 0.8 for _ in range(nd.COORDINATES)) / nd.COORDINATES
+        share = 1.0
+        for _ in range(nd.DEPTH):
+            share = 0.75 * equal * share + 0.25 * (1 - (1 - equal * share) ** 2)
+        met += 1 - (1 - share) ** runs
+    assert met / pairs >= 0.9945 and nd.recall_after(runs, 0.8, nd.DEPTH) >= 0.995 > nd.recall_after(runs - 1, 0.8, nd.DEPTH)
+    with pytest.raises(ValueError):
+        nd.runs_needed(0.01, 0.995, nd.DEPTH)

@@ -58,13 +58,33 @@ _OFFSETS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _PLACES = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def runs_needed(threshold: float, recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has shared a last node with probability `recall`."""
-    share, two = 1.0, 1 / threshold - 1
+def _shares(threshold: float, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a pair at the threshold: the probability of each number of equal coordinates in its signatures, and that of
+    sharing a last node in one run, given that number. All runs sample the same coordinates."""
+    equal = np.arange(COORDINATES + 1)
+    weight = np.array([math.comb(COORDINATES, m) * threshold**m * (1 - threshold) ** (COORDINATES - m) for m in equal])
+    share, two = np.ones(len(equal)), min(1.0, 1 / threshold - 1)
     for _ in range(depth):
-        kept = threshold * share
+        kept = equal / COORDINATES * share
         share = (1 - two) * kept + two * (1 - (1 - kept) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)))
+    return weight, share
+
+
+def recall_after(runs: int, threshold: float, depth: int) -> float:
+    """The probability that a pair at the threshold has shared a last node after some runs."""
+    weight, share = _shares(threshold, depth)
+    return float((weight * (1 - (1 - share) ** runs)).sum())
+
+
+def runs_needed(threshold: float, recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has shared a last node with probability `recall`."""
+    weight, share = _shares(threshold, depth)
+    if recall >= weight[share > 0].sum():
+        raise ValueError(f"signatures of {COORDINATES} coordinates don't reach recall {recall} at {threshold}")
+    runs = 1
+    while (weight * (1 - (1 - share) ** runs)).sum() < recall:
+        runs += 1
+    return runs
 
 
 def shingles(text: str, gram: int) -> np.ndarray:
