@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell import queries
 from tracewell.operators import trace
@@ -13,13 +14,13 @@ from tracewell.session import ProvenanceSession
 SF = "/root/testdata/sf0.01"
 
 
-def both(spark, name):
+def both(spark, name, sf=SF, files="{}.parquet"):
     """A registered query's rows and those of its SQL."""
     con = duckdb.connect()
     for t in queries.TABLES:
         if re.search(rf"\b{t}\b", queries.ORACLE_SQL[name]):
-            con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    got = queries.QUERIES[name](spark, SF)
+            con.execute(f"create view {t} as select * from read_parquet('{sf}/{files.format(t)}')")
+    got = queries.QUERIES[name](spark, sf)
     want = con.execute(queries.ORACLE_SQL[name])
     assert got.columns == [c[0] for c in want.description]
     return sorted(map(tuple, got.collect())), sorted(map(tuple, want.fetchall()))
@@ -79,3 +80,12 @@ def test_composed_edges_are_the_block(spark, sql, mode):
     if s.plan(qid).children:
         operators = [n for n in s.plan(qid).walk() if n.materializes and n.opid in {p[1] for p in pairs}]
         assert {(n.opid, c) for n in operators for c in n.source_opids if c in {p[1] for p in pairs}} <= pairs
+
+
+def test_all_bits_of_the_target_matrix(spark, tmp_path):
+    got, want = both(spark, "target_matrix_all")
+    assert got == want
+    large = spark.read.parquet(f"{SF}/lineitem.parquet").limit(4).withColumn("l_quantity", F.expr("element_at(array(1.0D, 57.5D, 58.5D, 61.0D), cast(row_number() over (order by l_orderkey, l_linenumber) as int))"))
+    large.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, want = both(spark, "target_matrix_all", str(tmp_path), "lineitem.parquet/*.parquet")
+    assert got == want and {(r[1] >> 62) & 3 for r in got} == {0, 1, 3}

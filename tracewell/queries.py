@@ -609,6 +609,17 @@ def target_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tm.select("iid", F.col("mask_0").bitwiseAND(F.lit((1 << 62) - 1)).alias("mask_low"), F.col("mask_1").cast("int").alias("mask_1"))
 
 
+@_query(
+    "target_matrix_all",
+    f"""{_WITH}, m as (select rid as iid, {' + '.join(f'(case when {p} then {1 << j}::hugeint else 0 end)' for j, p in enumerate(_PREDICATES[:64]))} as bits, {' + '.join(f'(case when {p} then {1 << j} else 0 end)' for j, p in enumerate(_PREDICATES[64:]))} as mask_1 from li)
+    select iid, cast(case when bits >= {1 << 63}::hugeint then bits - {1 << 64}::hugeint else bits end as bigint) as mask_0, mask_1 from m""",
+)
+def target_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 bits of the first mask, as a signed number."""
+    tm = interventions.target_matrix(_base(spark, sf_dir, "lineitem"), _PREDICATES)
+    return tm.select("iid", "mask_0", F.col("mask_1").cast("int").alias("mask_1"))
+
+
 _AGG = "select l_returnflag, sum(l_extendedprice) as s from lineitem group by l_returnflag"
 _AGG_SQL = "b as (select dense_rank() over (order by l_returnflag) - 1 as out, * from li)"
 
