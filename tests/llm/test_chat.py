@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,22 @@ def test_odd_rows(spark):
     assert [r["action"] for r in sorted(got[None], key=lambda r: r["seq"])] == ["insert", "keep"]
     assert text_of(got[3]).count("<|end|>") in (2, 3)
     assert c.render(df.limit(0)).count() == 0
+
+
+def test_rows_without_turn_numbers_are_cut_by_place(spark, monkeypatch):
+    """A hot conversation whose turns are all null or one number: no run of rows outgrows a part."""
+    turns = [(1, None if i % 2 else 7, ("user", "assistant", "other", None)[i % 4], f"t{i % 900:03}" if i % 3 else None) for i in range(4000)]
+    turns += [(2, i, "user" if i % 2 == 0 else "assistant", "x") for i in range(6)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    parts = c._in_parts(df.selectExpr("conv_id as conv", "cast(coalesce(floor(turn / 256), -1) as long) as chunk", "turn", "1 as role", "role as role_order", "text"))
+    assert parts.count() == len(turns) and parts.groupBy("conv", "chunk", "part").count().agg({"count": "max"}).first()[0] <= c.CHUNK
+    out = [tuple(r) for r in c.render(df).orderBy("conv_id", "chunk", "seq").collect()]
+    monkeypatch.setattr(c, "CROWDED", 1 << 40)
+    whole = [tuple(r) for r in c.render(df).orderBy("conv_id", "chunk", "seq").collect()]
+    for conv in (1, 2):
+        a, b = ([r for r in rows if r[0] == conv] for rows in (out, whole))
+        assert sum(r[6] for r in a) == sum(r[6] for r in b)
+        assert len({(r[1], r[2]) for r in a}) == len(a) and sum(r[4] != "insert" for r in a) == sum(t[0] == conv for t in turns)
+    key = lambda r: [(x is not None, x) for x in r[1:]]
+    read = [(r[3], re.sub(r"^(<\|end\|>\n)?(<\|\w+\|>\n|\n\n)|<\|end\|>\n$", "", r[7])) for r in out if r[0] == 1 and r[4] != "insert"]
+    assert read == [(t[1], t[3] or "") for t in sorted((t for t in turns if t[0] == 1), key=key)]

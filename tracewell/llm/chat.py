@@ -13,7 +13,8 @@ Of equal costs the first in the order of _moves is taken. The steps of the autom
 min-plus products, so a conversation is cut into chunks of CHUNK turn numbers: conversations of more than
 one chunk first get each chunk's matrix of costs from state to state (roles only, no texts), from which the states at
 the cuts follow; then every chunk is repaired and rendered by itself. A conversation may hold a third of
-all rows: a task holds one chunk's turns, or for a cut conversation 16 numbers a chunk.
+all rows: a task holds one chunk's turns, or for a cut conversation 16 numbers a chunk. A chunk of more than CROWDED
+rows, of null or repeated turn numbers, is cut further, by the rows' places in order, into parts of CHUNK rows.
 
 Rendered pieces, one for each turn and each inserted turn, concatenate in order of (chunk, seq) to the
 whole conversation: <|role|>\\ntext<|end|>\\n, the parts of a merged turn being joined by \\n\\n.
@@ -31,7 +32,7 @@ from functools import cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm._common import cut, id_column, need, null_id_back
@@ -42,6 +43,10 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 FOLLOWS = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, RELABEL, INSERT = 1, 2, 3
 CHUNK = 256
+#: Up to so many rows a chunk stays whole.
+CROWDED = 1_024
+#: Pieces of a part of a chunk, at most: a turn has two inserted before it, and two end a conversation.
+PIECES = 4 * CHUNK
 FAR = 1 << 40
 #: States at cuts are broadcast up to so many chunks (some 40 bytes each).
 BROADCAST_CHUNKS = 100_000
@@ -136,20 +141,21 @@ def _runs(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, li
 
 
 def _states_at_cuts(turns: DataFrame) -> DataFrame:
-    """(conv, chunk, entry, leave, last) of every chunk of conversations with more than one."""
-    many = turns.groupBy("conv").agg((F.min("chunk") != F.max("chunk")).alias("many"), F.max("chunk").alias("end")).where("many")
+    """(conv, chunk, part, entry, leave, last) of every part of a chunk of conversations with more than one."""
+    place = F.struct("chunk", "part")
+    many = turns.groupBy("conv").agg((F.min(place) != F.max(place)).alias("many")).where("many")
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, chunk), rows in _runs(batches, 2):
+        for (conv, chunk, part), rows in _runs(batches, 3):
             matrix = []
             for s in range(4):
                 start = [FAR] * 4
                 start[s] = 0
                 matrix += _forward(start, [r[1] for r in rows])[0]
-            yield pa.RecordBatch.from_pydict({"conv": [conv], "chunk": [chunk], "matrix": [matrix]})
+            yield pa.RecordBatch.from_pydict({"conv": [conv], "chunk": [chunk], "part": [part], "matrix": [matrix]})
 
     def trace(key: tuple, chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("chunk")
+        chunks = chunks.sort_values(["chunk", "part"])
         cost, how = [0, FAR, FAR, FAR], []
         for m in chunks["matrix"]:
             sums = [[cost[s] + int(m[4 * s + t]) for s in range(4)] for t in range(4)]
@@ -161,18 +167,41 @@ def _states_at_cuts(turns: DataFrame) -> DataFrame:
             cuts.append(h[cuts[-1]])
         cuts.reverse()
         last = [False] * (len(chunks) - 1) + [True]
-        return pd.DataFrame({"conv": chunks["conv"], "chunk": chunks["chunk"], "entry": cuts[:-1], "leave": cuts[1:], "last": last})
-
-    long = turns.join(many.select("conv"), "conv", "left_semi").select("conv", "chunk", "turn", "role")
-    by_chunk = long.repartition("conv", "chunk").sortWithinPartitions("conv", "chunk", F.col("turn").asc_nulls_first(), "role_order")
-    matrices = by_chunk.select("conv", "chunk", "turn", "role").mapInArrow(costs, "conv long, chunk long, matrix array<long>")
-    return matrices.groupBy("conv").applyInPandas(trace, "conv long, chunk long, entry int, leave int, last boolean")
+        return pd.DataFrame({"conv": chunks["conv"], "chunk": chunks["chunk"], "part": chunks["part"], "entry": cuts[:-1], "leave": cuts[1:], "last": last})
+
+    long = turns.join(many.select("conv"), "conv", "left_semi").select("conv", "chunk", "part", "turn", "role", "role_order")
+    by_chunk = long.repartition("conv", "chunk", "part").sortWithinPartitions("conv", "chunk", "part", F.col("turn").asc_nulls_first(), "role_order")
+    matrices = by_chunk.select("conv", "chunk", "part", "turn", "role").mapInArrow(costs, "conv long, chunk long, part long, matrix array<long>")
+    return matrices.groupBy("conv").applyInPandas(trace, "conv long, chunk long, part long, entry int, leave int, last boolean")
+
+
+def _in_parts(turns: DataFrame) -> DataFrame:
+    """turns with the part of their chunk: 0, or in a crowded chunk a row's place in order, divided by CHUNK. Equal rows
+    may stand in any order, so they are dealt over ranges too."""
+    keys = cut(turns.groupBy("conv", "chunk").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("conv", "chunk"))
+    n_keys = keys.count()
+    if not n_keys:
+        return turns.withColumn("part", F.lit(0).cast("long"))
+    keys = F.broadcast(keys) if n_keys <= BROADCAST_CHUNKS else keys
+    order = [F.col(x).asc_nulls_first() for x in ("conv", "chunk", "turn", "role_order", "text", "tie")]
+    crowded = turns.join(keys, ["conv", "chunk"], "left_semi").withColumn("tie", F.monotonically_increasing_id())
+    ranged = crowded.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = ranged.join(F.broadcast(starts), "range").withColumn("at", F.col("at") + F.col("shift"))
+    firsts = placed.groupBy("conv", "chunk").agg(F.min("at").alias("first"))
+    firsts = F.broadcast(firsts) if n_keys <= BROADCAST_CHUNKS else firsts
+    parted = placed.join(firsts, ["conv", "chunk"]).withColumn("part", F.floor((F.col("at") - F.col("first")) / CHUNK).cast("long"))
+    others = turns.join(keys, ["conv", "chunk"], "left_anti").withColumn("part", F.lit(0).cast("long"))
+    return others.unionByName(parted.select(*others.columns))
 
 
 def render(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, chunk long, seq int, turn long, action string, role string, cost long, rendered string): a row
     for each turn (keep, merge, relabel, relabel_merge) and inserted turn (insert, turn null). cost stands
-    in a chunk's first row, 0 elsewhere; summed over a conversation it is the repair's cost."""
+    in the first row of a chunk, or of a part of a crowded one, 0 elsewhere; summed over a conversation it is the repair's cost."""
     need(conversations, conv_col, turn_col, role_col, text_col)
     c = conversations
     turn = c[turn_col].cast("long")
@@ -180,19 +209,20 @@ def render(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
         id_column(conv_col).alias("conv"), F.coalesce(F.floor(turn / CHUNK), F.lit(-(1 << 62))).cast("long").alias("chunk"), turn.alias("turn"), role_code(c[role_col]).alias("role"),
         c[role_col].alias("role_order"), c[text_col].alias("text"),
     )
-    states = cut(_states_at_cuts(turns.select("conv", "chunk", "turn", "role", "role_order")))
+    turns = _in_parts(turns)
+    states = cut(_states_at_cuts(turns.select("conv", "chunk", "part", "turn", "role", "role_order")))
     # no join after the rows of a chunk have been brought together: a join may split them again
     states = F.broadcast(states) if states.count() <= BROADCAST_CHUNKS else states
-    placed = turns.join(states, ["conv", "chunk"], "left").repartition("conv", "chunk")
+    placed = turns.join(states, ["conv", "chunk", "part"], "left").repartition("conv", "chunk", "part")
     by_turn = [F.col(x).asc_nulls_first() for x in ("turn", "role_order", "text")]
-    placed = placed.sortWithinPartitions("conv", "chunk", *by_turn).select("conv", "chunk", "turn", "role", "text", "entry", "leave", "last")
+    placed = placed.sortWithinPartitions("conv", "chunk", "part", *by_turn).select("conv", "chunk", "part", "turn", "role", "text", "entry", "leave", "last")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv", "chunk", "seq", "turn", "action", "role", "cost", "rendered"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         out: list[tuple] = []
         size = 0
-        for (conv, chunk), rows in _runs(batches, 2):
+        for (conv, chunk, part), rows in _runs(batches, 3):
             entry, leave, last = rows[0][3:]
             last = True if last is None else last
             cost, steps, ending = repair([r[1] for r in rows], START if entry is None else entry, leave, last)
@@ -214,7 +244,7 @@ def render(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
                 pieces[-1][3] += "<|end|>\n"
             # of a chunk that isn't the last, the cost of reaching its leaving state
             for seq, p in enumerate(pieces):
-                out.append((conv, chunk, seq, p[0], p[1], p[2], cost if seq == 0 else 0, p[3]))
+                out.append((conv, chunk, part * PIECES + seq, p[0], p[1], p[2], cost if seq == 0 else 0, p[3]))
                 size += len(p[3])
             if size > 2 << 20 or len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
