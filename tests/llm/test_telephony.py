@@ -60,6 +60,17 @@ def test_query_rows(spark):
     assert t.read(t.store(df.limit(0))).count() == 0
 
 
+def test_resampled_pcm_is_stored_beside_the_codes(spark, tmp_path):
+    texts = ["", None, "a", "x" * 577, "é" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t.store(df, pcm_rate=16_000).write.parquet(f"{tmp_path}/stored")
+    stored = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/stored").collect()}
+    again = {r["doc_id"]: r["pcm"] for r in t.read(t.store(df), with_pcm=True).collect()}
+    assert len(stored) == 5
+    for i, r in stored.items():
+        assert r["pcm"] == again[i] and len(r["pcm"]) == 4 * len(t.unwav(bytes(r["media"]))[3])
+
+
 def df_lit():
     from pyspark.sql import functions as F
 

@@ -147,8 +147,9 @@ def _measures(pcm: np.ndarray, lengths: np.ndarray) -> list[str]:
     return out
 
 
-def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes long, media binary): each text's payload as a mu-law WAV file."""
+def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pcm_rate: int | None = None) -> DataFrame:
+    """(id, n_bytes long, media binary[, pcm binary]): each text's payload as a mu-law WAV file; with a pcm_rate also its
+    PCM (int16) resampled to that rate, beside the codes, which stay the lossless form."""
     need(df, id_col, text_col)
     kind = dict(df.dtypes)[id_col]
 
@@ -157,9 +158,20 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             for part in pieces_of(batch, "text", 2 << 20):
                 found = texts(part)
                 sizes = [len(t.encode()) for t in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([wav(payload(t)) for t in found], pa.binary())], [id_col, "n_bytes", "media"])
+                codes = [payload(t) for t in found]
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array([wav(c) for c in codes], pa.binary())]
+                if pcm_rate:
+                    lengths = np.array([len(c) for c in codes], np.int64)
+                    columns.append(_pcm_column(*resample(expand(b"".join(codes), MU_LAW), lengths, pcm_rate, RATE)))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "media", *["pcm"] * bool(pcm_rate)])
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    schema = f"`{id_col}` {kind}, n_bytes long, media binary" + ", pcm binary" * bool(pcm_rate)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+
+
+def _pcm_column(pcm: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    ends = np.cumsum(lengths)
+    return pa.array([pcm[e - k : e].astype("<i2").tobytes() for e, k in zip(ends, lengths, strict=True)], pa.binary())
 
 
 def read(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ("n_bytes",), rate: int = 16_000, with_pcm: bool = False) -> DataFrame:
@@ -189,8 +201,7 @@ def read(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep:
                         said[k] += f";alaw={a};adpcm={d}"
                 columns = [part.column(i) for i in range(n + 2)] + [pa.array(codes, pa.binary()), pa.array(said, pa.string())]
                 if with_pcm:
-                    ends = np.cumsum(new)
-                    columns.append(pa.array([resampled[e - k : e].astype("<i2").tobytes() for e, k in zip(ends, new, strict=True)], pa.binary()))
+                    columns.append(_pcm_column(resampled, new))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, *keep, "media", "payload", "feature", *["pcm"] * with_pcm])
 
     schema = ", ".join([f"`{id_col}` {types[id_col]}", *(f"`{k}` {types[k]}" for k in keep), "media binary, payload binary, feature string" + ", pcm binary" * with_pcm])
