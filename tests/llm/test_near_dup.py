@@ -59,6 +59,22 @@ def test_large_groups_by_splits_and_tiles(spark, monkeypatch, tile, items):
     assert rows(nd.classes(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
 
 
+def test_nodes_that_a_shuffle_splits(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LIMIT", 8)
+    monkeypatch.setattr(nd, "LOCAL", 20)
+    docs = made(4, 60, 10)
+    assert rows(nd.classes(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
+
+
+def test_texts_of_one_id(spark):
+    """Of several texts one stands for the id, whatever the order of rows."""
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    docs = [(1, a), (2, b), (3, a), (3, b), (3, a)]
+    found = [rows(nd.classes(spark.createDataFrame(d, "doc_id long, text string").repartition(n))) for d, n in ((docs, 1), (docs[::-1], 3))]
+    assert found[0] == found[1] and len(found[0]) == 5
+    assert {c for i, c, _, _ in found[0] if i == 3} < {1, 2}
+
+
 def test_odd_rows(spark, odd_docs):
     out = nd.classes(odd_docs)
     assert out.count() == odd_docs.count()

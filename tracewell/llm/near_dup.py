@@ -8,18 +8,24 @@ components of the links.
 2. Chosen paths: a run begins with one node of all documents. A node samples one coordinate of its members'
    signatures, sometimes two (1 / threshold on average), and its members split by the token they have
    there, so members with a shared sampled token stay together. Nodes of at most LIMIT members are
-   compared pairwise by brute force on their signatures; larger ones are split again, up to DEPTH times. The
-   runs are repeated until a pair at the threshold is found with the target probability, which
-   follows from the branching. What is still large after DEPTH splits is taken for one group of near copies.
-3. Pairs so found only make candidate groups (stars, never all pairs). In each group every pair is then
-   checked exactly on the sets, in tiles of TILE by TILE documents, so that no link between found
-   documents is missed or wrong; a tile gives a row for each of its documents, with its links counted.
-
-Nothing is gathered on the driver, and large nodes, groups and classes of copies are dealt over tasks.
+   compared pairwise by brute force on their signatures; larger ones are split again, up to DEPTH times (nodes of
+   at most LOCAL members inside one task, larger ones by a shuffle). The runs are repeated until a pair at the
+   threshold is found with the target probability, which follows from the branching.
+3. Members of a node whose signatures are near, and whom such nearness connects, make a bucket; the same bucket of
+   several runs is one. Nodes still over LIMIT members after DEPTH splits share DEPTH sampled tokens, so nearly all
+   their pairs are links: nodes that overlap are joined to one bucket, which is dealt over tasks in tiles.
+4. In each bucket pairs are checked exactly on the sets, in tiles of TILE by TILE documents, so no pairs are
+   emitted: a tile gives a row for each of its documents, with its links counted. Every document brings the
+   list of its buckets, and a pair counts only in the first bucket that both are in.
+
+So work grows with the documents times the buckets that they are in, a bounded number of at most LIMIT members each,
+and only groups of that many linked documents with different texts cost the square of their size (their links do, too).
+Nothing is gathered on the driver, and large nodes, buckets and classes of copies are dealt over tasks.
 
 Defined results: a null or wordless text has the empty set, no links and a class of its own; a null id is
-one document below all others; rows with one id are one document; the least id names a class; an empty table
-gives an empty table. Ties don't arise. Other columns of the input are not carried along by `classes`.
+one document below all others; ids are cast to long; rows with one id are one document, whose text is the one of
+least xxhash64, each row getting a row and counting as a link of its own; the least id names a class; an empty table gives an empty table. Ties
+don't arise. Other columns of the input are not carried along by `classes`.
 """
 
 from __future__ import annotations
@@ -43,7 +49,9 @@ COORDINATES = 64
 MARGIN = 0.18
 LIMIT = 128
 DEPTH = 6
-#: A group is cut into blocks of so many documents, or so many items of their sets together.
+#: Nodes of so many members are split on inside one task, which holds their signatures (256 bytes each).
+LOCAL = 1 << 15
+#: A bucket is cut into blocks of so many documents, or so many items of their sets together.
 TILE = 512
 TILE_ITEMS = 1 << 20
 SALTS = 32
@@ -111,20 +119,27 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
-    """(id long, print binary, items long, sig array<int>) of each row; print is the digest of the set, null if empty."""
+    """(id, mark, p1, p2, items long, sig array<int>) of each row; mark is the text's hash, p1 and p2 the digest of the
+    set, null if it is empty."""
     need(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, "text"):
                 sets = [shingles(t, gram) for t in texts(part)]
-                prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                empty = np.array([not len(s) for s in sets])
+                prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
                 flat = np.concatenate([signature(s) for s in sets])
                 sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDINATES, pa.int32()), pa.array(flat))
                 items = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), items, sigs], ["id", "print", "items", "sig"])
+                halves = [pa.array(prints[:, k], pa.int64(), mask=empty) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *halves, items, sigs], ["id", "mark", "p1", "p2", "items", "sig"])
+
+    return _given(docs, id_col, text_col).mapInArrow(run, "id long, mark long, p1 long, p2 long, items long, sig array<int>")
+
 
-    return docs.select(id_column(id_col).alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, print binary, items long, sig array<int>")
+def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(id_column(id_col).alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("text"))
 
 
 def _children(rows: DataFrame, threshold: float) -> DataFrame:
@@ -172,89 +187,129 @@ def _bounds(table: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), table.num_rows)
 
 
-def _compared(leaves: DataFrame, least: float) -> DataFrame:
-    """(id, root) from (node, id, sig): members of a node whose signatures agree in the share `least`."""
+def _hashed(code: int, n: int) -> int:
+    return xxhash.xxh3_64_intdigest(code.to_bytes(8, "little"), seed=n)
+
+
+def _chosen(code: int, threshold: float) -> list[int]:
+    """The coordinates that a node splits by."""
+    one, two = (_hashed(code, n) % COORDINATES for n in (1, 2))
+    return [one, two] if one != two and _hashed(code, 3) % 1000 < int(1000 * (1 / threshold - 1)) else [one]
+
+
+def _ends(sigs: np.ndarray, code: int, depth: int, threshold: float) -> Iterator[tuple[np.ndarray, bool]]:
+    """The sets of members in which a node's paths end, and whether one is still large after so many splits."""
+    todo, seen = [(np.arange(len(sigs)), code, depth)], set()
+    while todo:
+        rows, code, left = todo.pop()
+        if len(rows) <= LIMIT or not left:
+            key = xxhash.xxh3_128_digest(rows.tobytes())
+            if key not in seen:
+                seen.add(key)
+                yield rows, len(rows) > LIMIT
+            continue
+        for at in _chosen(code, threshold):
+            values = sigs[rows, at]
+            order = np.argsort(values, kind="stable")
+            starts = np.append(np.flatnonzero(np.diff(values[order], prepend=values[order[0]] ^ 1)), len(rows))
+            several = np.flatnonzero(np.diff(starts) > 1)
+            for a, b in zip(starts[several].tolist(), starts[several + 1].tolist(), strict=True):
+                child = xxhash.xxh3_64_intdigest(f"{code},{at},{values[order[a]]}")
+                todo.append((rows[order[a:b]], child, left - 1))
+
+
+def _near(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, bucket, large) from (node, depth, id, sig): the buckets of a node's members. A large one goes by its least id."""
+    least = (threshold - MARGIN) * COORDINATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _segments(batches, 1):
-            ids = t.column("id").to_numpy()
+            codes, depths, ids = (t.column(c).to_numpy() for c in ("node", "depth", "id"))
             sigs = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            out: list[tuple[np.ndarray, int, bool]] = []
             ends = _bounds(t, 1)
             size = np.diff(ends)
-            out_ids, out_roots = [], []
             two = ends[:-1][size == 2]
-            near = two[(sigs[two] == sigs[two + 1]).mean(axis=1) >= least]
-            out_ids.append(np.maximum(ids[near], ids[near + 1]))
-            out_roots.append(np.minimum(ids[near], ids[near + 1]))
+            pairs = np.sort(np.stack([ids[two], ids[two + 1]], axis=1)[(sigs[two] == sigs[two + 1]).sum(axis=1) >= least], axis=1)
+            out += [(p, xxhash.xxh3_64_intdigest(p.tobytes()), False) for p in np.ascontiguousarray(pairs)]
             for a, n in zip(ends[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                s, i = sigs[a : a + n], ids[a : a + n]
-                same = np.zeros((n, n), np.int32)
-                for c in range(COORDINATES):
-                    same += s[:, c, None] == s[None, :, c]
-                out_ids.append(i)
-                out_roots.append(_stars(same >= least * COORDINATES, i))
-            i, r = np.concatenate(out_ids), np.concatenate(out_roots)
-            yield pa.RecordBatch.from_arrays([pa.array(i[i != r], pa.int64()), pa.array(r[i != r], pa.int64())], ["id", "root"])
-
-    return leaves.repartition("node").sortWithinPartitions("node").select("node", "id", "sig").mapInArrow(run, "id long, root long")
-
-
-def candidate_edges(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(id, root) over nodes (id, sig): stars over what the chosen paths bring together."""
+                order = np.argsort(ids[a : a + n])
+                own, s = ids[a : a + n][order], sigs[a : a + n][order]
+                for rows, large in _ends(s, int(codes[a]) & 0xFFFFFFFFFFFFFFFF, int(depths[a]), threshold):
+                    if large:
+                        out.append((own[rows], int(own[rows].min()), True))
+                        continue
+                    some = s[rows]
+                    roots = _stars((some[:, None] == some[None]).sum(axis=2) >= least, own[rows])
+                    for r in np.unique(roots[roots != own[rows]]).tolist():
+                        members = own[rows[roots == r]]
+                        out.append((members, xxhash.xxh3_64_intdigest(np.sort(members).tobytes()), False))
+            lengths = [len(m) for m, _, _ in out]
+            buckets = np.repeat(np.array([b & 0xFFFFFFFFFFFFFFFF for _, b, _ in out], np.uint64).view(np.int64), lengths)
+            columns = [pa.array(np.concatenate([m for m, _, _ in out]) if out else [], pa.int64()), pa.array(buckets, pa.int64()), pa.array(np.repeat(np.array([x for _, _, x in out], bool), lengths), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "bucket", "large"])
+
+    placed = nodes.repartition("node").sortWithinPartitions("node").select("node", "depth", "id", "sig")
+    return placed.mapInArrow(run, "id long, bucket long, large boolean")
+
+
+def buckets(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(id, bucket) over nodes (id, sig): what the chosen paths bring together."""
     n_runs = runs_needed(threshold, recall, DEPTH)
     rows = _children(nodes.select(F.explode(F.array(*(F.lit(r).cast("long") for r in range(n_runs)))).alias("node"), "id", "sig"), threshold)
-    leaves, stars = [], None
+    members, large = None, None
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("least")).where("n > 1")
         sizes = cut(sizes)
         # runs bring the same documents together again and again: one node of each set of members is enough
-        small = sizes.where(F.col("n") <= LIMIT).groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
-        leaves.append(rows.join(small, "node").select("node", "id"))
-        big = sizes.where(F.col("n") > LIMIT)
-        if big.isEmpty():
+        few = sizes.where(F.col("n") <= LOCAL).groupBy("n", "members").agg(F.min("node").alias("node"))
+        found = rows.join(few.select("node", F.lit(DEPTH - level).alias("depth")), "node").select("node", "depth", "id")
+        members = found if members is None else members.unionByName(found)
+        many = sizes.where(F.col("n") > LOCAL)
+        if many.isEmpty():
             break
         if level == DEPTH:
-            once = big.groupBy("n", "members").agg(F.min_by(F.struct("node", "least"), "node").alias("m")).select("m.node", "m.least")
-            stars = rows.join(once, "node").where("id != least").select("id", F.col("least").alias("root"))
+            large = rows.join(many.select("node", "least"), "node").select("id", F.col("least").alias("root"))
         else:
-            large = rows.join(big.select("node"), "node").select("node", "id")
-            rows = cut(_children(large.join(nodes, "id").select("node", "id", "sig"), threshold))
-    members = leaves[0]
-    for more in leaves[1:]:
-        members = members.unionByName(more)
-    found = _compared(members.join(nodes, "id").select("node", "id", "sig"), threshold - MARGIN)
-    return (found if stars is None else found.unionByName(stars)).distinct()
+            split = rows.join(many.select("node"), "node").select("node", "id")
+            rows = cut(_children(split.join(nodes, "id").select("node", "id", "sig"), threshold))
+    near = cut(_near(members.join(nodes, "id").select("node", "depth", "id", "sig"), threshold))
+    stars = near.where("large").select("id", F.col("bucket").alias("root"))
+    stars = (stars if large is None else stars.unionByName(large)).where("id <> root").distinct()
+    found = near.where("not large").select("id", "bucket").distinct()
+    if stars.isEmpty():
+        return found
+    return found.unionByName(components(stars).select("id", F.xxhash64("root", F.lit("large")).alias("bucket")))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every id in edges (id, root): the least id of its connected component. Labels pass
-    along edges and then jump to their label's label, until none changes. The centre of a star, and the label of a
-    large component, are met in PARTS parts."""
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
+    """(id, root) for every id in edges (id, root): the least id of its connected component. In each round a node
+    takes the least label of its neighbours and of the node that its own label names, until none changes. The centre
+    of a star, and the label of a large component, are met in PARTS parts."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("part")
     each = F.explode(F.array(*map(F.lit, range(PARTS)))).alias("at_part")
     both = edges.select(F.col("id").alias("a"), F.col("root").alias("b")).union(edges.select("root", "id")).distinct()
-    both = cut(both.withColumn("part", part("a")))
+    both = cut(both.select("a", "b", part("a")))
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root"))
     while True:
+        asks = both.unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b"), part("id")))
         senders = labels.select(F.col("id").alias("sender"), F.col("root").alias("sent"), each)
-        told = both.join(senders, (both["b"] == senders["sender"]) & (both["part"] == senders["at_part"])).select(F.col("a").alias("id"), F.col("sent").alias("root"))
-        least = cut(labels.unionByName(told).groupBy("id").agg(F.min("root").alias("root")))
-        up = least.select(F.col("id").alias("up"), F.col("root").alias("up_root"), each)
-        jumped = least.join(up, (least["root"] == up["up"]) & (part("id") == up["at_part"])).select("id", "up_root")
-        new = labels.join(jumped, "id").select("id", F.col("up_root").alias("root"), (F.col("up_root") != F.col("root")).alias("changed"))
-        new = cut(new)
+        told = asks.join(senders, (asks["b"] == senders["sender"]) & (asks["part"] == senders["at_part"]))
+        told = told.select(F.col("a").alias("id"), F.col("sent").alias("root"), F.lit(None).cast("long").alias("was"))
+        new = labels.select("id", "root", F.col("root").alias("was")).unionByName(told)
+        new = cut(new.groupBy("id").agg(F.min("root").alias("root"), F.max("was").alias("was")))
         labels = new.select("id", "root")
-        if new.where("changed").isEmpty():
+        if new.where("root <> was").isEmpty():
             return labels
 
 
-def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
-    """Which of the first `left` sets are linked with which of the others; left = all: among themselves.
-    Shared tokens are counted by matrix products, over one range of the (sorted, evenly spread) tokens after the other."""
-    n = np.array([len(s) for s in sets], np.int64)
+def _shared(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """How many tokens each of the first `left` sets shares with each of the others; left = all: among themselves.
+    Counted by matrix products, over one range of the (sorted, evenly spread) tokens after the other."""
+    total = sum(map(len, sets))
     right = 0 if left == len(sets) else left
     shared = np.zeros((left, len(sets) - right), np.float32)
-    ranges = 1 << max(0, int(n.sum()) // RANGE_ITEMS).bit_length()
+    ranges = 1 << max(0, total // RANGE_ITEMS).bit_length()
     cuts = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - (ranges.bit_length() - 1))) if ranges > 1 else np.empty(0, np.uint64)
     at = [np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]]) for s in sets]
     for k in range(ranges):
@@ -272,27 +327,35 @@ def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
             held = np.zeros((len(sets), min(COLUMNS, width - first)), np.float32)
             held[owner[a:b], column[a:b] - first] = 1
             shared += held[:left] @ held[right:].T
-    union = n[:left, None] + n[None, right:] - shared
+    return shared
+
+
+def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
+    """Which of the first `left` sets are linked with which of the others; left = all: among themselves."""
+    n, shared = np.array([len(s) for s in sets], np.int64), _shared(sets, left)
+    union = n[:left, None] + n[None, 0 if left == len(sets) else left :] - shared
     return shared >= threshold * union - 1e-6
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, gram: int, threshold: float) -> DataFrame:
+def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, gram: int, threshold: float) -> DataFrame:
     """(id, links long, root long) for each tile and document in it: the copies of the documents linked
-    with it there, and the least id that links in the tile lead to. groups: (id, group, copies, items)."""
+    with it there, and the least id that links in the tile lead to. members: (id, mark, copies, items, bucket)."""
     blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("items") / TILE_ITEMS)).cast("int")
-    sizes = groups.groupBy("group").agg(blocks.alias("blocks"))
-    members = groups.drop("items").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("bucket").agg(blocks.alias("blocks"))
+    placed = members.join(sizes, "bucket").groupBy("id", "mark", "copies").agg(F.collect_list(F.struct("bucket", "blocks")).alias("at"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, "text"):
                 packed = pa.array([shingles(t, gram).tobytes() for t in texts(part)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], ["group", "blocks", "block", "id", "copies", "items"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], ["id", "copies", "at", "items"])
 
-    given = docs.select(id_column(id_col).alias("id"), docs[text_col].alias("text"))
-    sets = given.join(members, "id").select("group", "blocks", "block", "id", "copies", "text").mapInArrow(pack, "group long, blocks int, block int, id long, copies long, items binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = sets.withColumn("other", other).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "items")
+    given = _given(docs, id_col, text_col).join(placed, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    sets = given.select("id", "copies", "at", "text").mapInArrow(pack, "id long, copies long, at array<struct<bucket:long,blocks:int>>, items binary")
+    each = sets.select("id", "copies", "items", F.array_sort("at.bucket").alias("all"), F.explode("at").alias("p"))
+    each = each.select("id", "copies", "items", "all", "p.bucket", "p.blocks", F.pmod(F.xxhash64("id", "p.bucket"), F.col("p.blocks")).cast("int").alias("block"))
+    tiles = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "all", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _segments(batches, 3):
@@ -302,22 +365,20 @@ def exact_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
             ids, links, roots = (np.concatenate([x[k] for x in out]) for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array(roots, pa.int64())], ["id", "links", "root"])
 
-    ordered = tiles.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "block", "id")
+    ordered = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "id")
     return ordered.mapInArrow(run, "id long, links long, root long")
 
 
 def _tile(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, copies, block = (t.column(c).to_numpy() for c in ("id", "copies", "block"))
-    first = np.append(True, ids[1:] != ids[:-1])
-    keep = np.flatnonzero(first)
-    ids, copies, block = ids[keep], copies[keep], block[keep]
-    items = t.column("items").take(pa.array(keep)).to_pylist()
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    bucket, i, j = (t.column(c)[0].as_py() for c in ("bucket", "i", "j"))
     left = int((block == i).sum())
-    right = 0 if i == j else left
-    if left == 0 or right == len(ids):
+    if left == 0 or (i != j and left == len(ids)):
         return ids[:0], copies[:0], ids[:0]
-    same = _links([np.frombuffer(x, np.uint64) for x in items], left, threshold)
+    same = _links([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items")], left, threshold)
+    # pairs that both stand in an earlier bucket are counted there
+    earlier = [x[x < bucket] for x in (np.array(a, np.int64) for a in t.column("all").to_pylist())]
+    same &= _shared([(x.view(np.uint64) ^ np.uint64(1 << 63)) for x in earlier], left) < 0.5
     if i == j:
         np.fill_diagonal(same, False)
         return ids, same @ copies, _stars(same, ids)
@@ -333,27 +394,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     if not 0.5 < threshold < 1:
         raise ValueError("threshold must lie between 0.5 and 1")
     found = cut(signatures(docs, id_col, text_col, gram))
-    copies = found.where("print is not null").groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies")).where("copies > 1")
-    salted = copies.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    rows = found.select("id", "print", salt.alias("salt")).join(salted, ["print", "salt"], "left")
-    rows = cut(rows.select("id", F.col("print").isNull().alias("empty"), F.coalesce("node", "id").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies")))
-    heads = rows.where("id = node and not empty").select("id", "copies").dropDuplicates(["id"])
-    nodes = cut(found.where("print is not null").join(heads, "id").dropDuplicates(["id"]).select("id", "sig", "items", "copies"))
-    groups = components(candidate_edges(nodes.select("id", "sig"), threshold, recall))
-    members = cut(groups.join(nodes.select("id", "items", "copies"), "id").select("id", F.col("root").alias("group"), "copies", "items"))
+    own = found.groupBy("id").agg(F.count("*").alias("times"), F.min("mark").alias("mark"), F.min_by("p1", "mark").alias("p1"), F.min_by("p2", "mark").alias("p2"))
+    own = cut(own)
+    heads = cut(own.where("p1 is not null").groupBy("p1", "p2").agg(F.min("id").alias("id"), F.min_by("mark", "id").alias("mark"), F.sum("times").alias("copies")))
+    same = ["id", "mark"]
+    nodes = cut(found.join(heads.select(*same, "copies"), same).dropDuplicates(same).select(*same, "items", "copies", "sig"))
+    at = buckets(nodes.select("id", "sig"), threshold, recall)
+    members = cut(at.join(nodes.drop("sig"), "id"))
     links = cut(exact_links(docs, members, id_col, text_col, gram, threshold))
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(links.where("id != root").select("id", "root").distinct())
     known = counted.join(named, "id", "left").select(F.col("id").alias("node"), "links", F.coalesce("root", "id").alias("root"))
-    # a class of copies may hold a third of all rows: its head's row is met in parts
-    known = cut(known).join(heads.select(F.col("id").alias("node"), "copies"), "node")
-    single = known.where("copies = 1").select("node", "links", "root", F.lit(0).alias("salt"))
-    many = known.where("copies > 1").select("node", "links", "root", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    own_salt = F.when(F.col("copies") > 1, salt).otherwise(F.lit(0))
-    out = rows.withColumn("salt", own_salt).join(single.unionByName(many), ["node", "salt"], "left")
-    same = F.when(F.col("empty"), F.lit(0)).otherwise(F.col("copies") - 1)
-    return out.select(null_id_back(F.col("id")).alias(id_col), null_id_back(F.coalesce("root", "node")).alias("class_id"), (F.coalesce("links", F.lit(0)) + same).alias("n_links"), same.alias("n_copies"))
+    # a class of copies may hold a third of all rows: what is known of it is met in parts
+    known = heads.select("p1", "p2", F.col("id").alias("node"), "copies").join(known, "node", "left").where("copies > 1 or links is not null")
+    salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = known.withColumn("salt", F.explode(salts))
+    several = known.where("copies > 1").select("p1", "p2", F.pmod("salt", F.lit(SALTS)).cast("int").alias("salt"), "node", "copies", "links", "root")
+    single = known.where("copies = 1").select(F.col("node").alias("id"), F.col("links").alias("own_links"), F.col("root").alias("own_root"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    out = own.withColumn("salt", salt).join(several, ["p1", "p2", "salt"], "left").join(single, "id", "left")
+    others = F.coalesce(F.col("copies") - 1, F.lit(0))
+    class_id = F.coalesce("own_root", "root", "node", "id")
+    out = out.select("id", "times", class_id.alias("class_id"), (F.coalesce("own_links", "links", F.lit(0)) + others).alias("n_links"), others.alias("n_copies"))
+    out = out.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(null_id_back(F.col("id")).alias(id_col), null_id_back(F.col("class_id")).alias("class_id"), "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
