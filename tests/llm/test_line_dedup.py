@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tracewell.llm import line_dedup as ld
 
@@ -73,7 +74,77 @@ def test_index_takes_documents_back(spark, tmp_path):
     assert index.refs().count() == 0
 
 
-def test_without_filters_the_result_is_the_same(spark, monkeypatch):
+def test_an_index_opened_again_is_as_it_was(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ld, "BATCHES", 3)
+    docs = made(100, 6)
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    path = str(tmp_path / "index")
+    for k in range(5):
+        ld.LineIndex(spark.newSession(), path, shards=2).insert(frame(docs[20 * k : 20 * k + 20]))
+    index = ld.LineIndex(spark, path)
+    assert index.version == 5 and index.shards == 2 and index._log[-1]["whole"] == 3
+    assert rows(index.kept(frame(docs))) == plain(docs)
+    other = ld.LineIndex(spark, path)
+    other.delete(frame(docs[:50]))
+    with pytest.raises(Exception, match="already exists"):
+        index.delete(frame(docs[:50]))
+    again = ld.LineIndex(spark, path)
+    assert again.version == 6 and rows(again.kept(frame(docs[50:]))) == plain(docs[50:])
+    with pytest.raises(ValueError):
+        ld.LineIndex(spark, path, min_docs=7)
+
+
+def test_a_document_is_taken_back_once(spark, tmp_path):
+    docs = made(40, 7)
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    index = ld.LineIndex(spark, str(tmp_path / "index"))
+    index.insert(frame(docs))
+    index.delete(frame(docs[:9]))
+    before = sorted(map(tuple, index.refs().collect()))
+    with pytest.raises(ValueError):
+        index.delete(frame(docs[5:12]))
+    assert index.version == 2 and sorted(map(tuple, index.refs().collect())) == before
+    index.insert(frame(docs[:9]))
+    assert rows(index.kept(frame(docs))) == plain(docs)
+
+
+def test_a_batch_that_failed_can_be_given_again(spark, tmp_path, monkeypatch):
+    docs = made(40, 8)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = ld.LineIndex(spark, str(tmp_path / "index"))
+    with monkeypatch.context() as m:
+        m.setattr(ld.LineIndex, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.insert(df)
+    assert ld.LineIndex(spark, index.path).version == 0
+    index.insert(df)
+    assert rows(ld.LineIndex(spark, index.path).kept(df)) == plain(docs)
+
+
+def test_a_full_filter_is_built_anew_with_more_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ld, "KEYS_A_SHARD", 50)
+    lines = [f"line number {k} that is long enough to be a key" for k in range(400)]
+    index = ld.LineIndex(spark, str(tmp_path / "index"), shards=1)
+    docs = [(i, "\n".join(lines[:5])) for i in range(6)]
+    index.insert(spark.createDataFrame(docs, "doc_id long, text string"))
+    docs += [(i, "\n".join(lines)) for i in range(6, 12)]
+    index.insert(spark.createDataFrame(docs[6:], "doc_id long, text string"))
+    assert index.shards == 9
+    assert rows(index.kept(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
+
+
+def test_filters_over_the_bound_of_broadcasts_are_used(spark, monkeypatch):
+    docs = made(60, 5)
+    refs = ld.reference_counts(spark.createDataFrame(docs, "doc_id long, text string"))
+    hot = ld.repeated(refs)
+    filters = ld.changed_filters(ld._inserted(hot), ld._no_filters(spark), 3)
+    some = sorted(map(tuple, ld.passing(refs, filters, 3).collect()))
+    monkeypatch.setattr(ld, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, ld.passing(refs, filters, 3).collect())) == some
+    assert {r[0] for r in some} >= {bytes(r["key"]) for r in hot.collect()} and len(some) < refs.count()
+
+
+def test_without_broadcasts_the_result_is_the_same(spark, monkeypatch):
     docs = made(60, 5)
     monkeypatch.setattr(ld, "BROADCAST_BYTES", -1)
     assert rows(ld.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
