@@ -89,3 +89,39 @@ def test_recall_of_the_lists_without_seeds(spark, monkeypatch):
     true = {q: {i for i, _ in want[q]} - seeds for q in want}
     hits = sum(len({i for i, _ in got[q]} & true[q]) for q in want)
     assert hits / sum(map(len, true.values())) >= 0.9
+
+
+def test_recall_by_probing_alone(spark):
+    """Constants of production on 24,000 vectors, without a query's first finds."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(200, 64))
+    x = np.concatenate([centres[np.arange(16_000) % 200] + 0.7 * rng.normal(size=(16_000, 64)), rng.normal(size=(8_000, 64))])
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    index = ann.fit(df)
+    assert len(index.seed_ids) <= 0.03 * len(rows) and len(index.lists) > 30
+    seeds, index.seed_ids, index.seeds, index.seed_lists = index.seed_ids, *(v[:0] for v in (index.seed_ids, index.seeds, index.seed_lists))
+    got = found(ann.search(df, index, F.col("vec_id") % 100 == 0))
+    want = exact(rows, [i for i, _ in rows if i % 100 == 0])
+    assert len(seeds) and got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9
+
+
+def test_lists_of_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TOP_LISTS", 8)
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(50, 24))
+    rows = [(i, (centres[i % 50] + 0.4 * rng.normal(size=24)).tolist()) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.fit(df)
+    assert len(index.lists.tops) == 8 and len(index.lists.rests) > 1 and index.probes < len(index.lists)
+    x = ann._unit(np.array([v for _, v in rows[:300]]))
+    places = (index.lists.tops[:, None] + index.lists.rests[None]).reshape(len(index.lists), -1)
+    far = ((x[:, None] - places[None]) ** 2).sum(axis=2) - 1
+    tops = (index.lists.tops ** 2).sum(axis=1).repeat(len(index.lists.rests))
+    assert np.allclose(far - tops, index.lists.far(x), atol=1e-4)
+    got = found(ann.search(df, index, F.col("vec_id") % 100 == 0))
+    want = exact(rows, [i for i, _ in rows if i % 100 == 0])
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9
