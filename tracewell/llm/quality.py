@@ -7,9 +7,9 @@ sum-of-squares identity. Features are the words of the whole text, lower-cased a
 lines, each cut into levels, and as metadata its length in characters, words and lines. Label, language,
 source and id are no features.
 
-The machine is fitted on the driver, on at most max_train labelled rows (a documented bound: those that
-come first by a hash of the id; their features, not their texts, reach the driver); it is broadcast, a
-fixed (BUCKETS + levels) x (rank + 1) floats. Scoring needs no shuffle.
+The machine is fitted in one task, on at most max_train labelled rows (a documented bound: those that
+come first by a hash of the id; their features, not their texts, reach that task); what the driver gets and
+broadcasts is a fixed (BUCKETS + levels) x (rank + 1) floats. Scoring needs no shuffle.
 
 Defined results: a null text is an empty one and gets a score like any other; a null id is held out and
 never learned from; labels other than 0 and 1 are left out; repeated rows get a row each, a repeated label
@@ -165,9 +165,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 at, value = ([x[k].tobytes() for x in found] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["id", "label", "at", "value"])
 
-    rows = given.mapInArrow(run, "id long, label int, at binary, value binary").toArrow().sort_by([("id", "ascending"), ("at", "ascending")])
-    found = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(rows["at"].to_pylist(), rows["value"].to_pylist(), strict=True)]
-    return fit(found, rows["label"].to_numpy().astype(np.float32))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("at", "ascending")])
+            found = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for a, v in zip(rows["at"], rows["value"], strict=True)]
+            machine = fit(found, rows["label"].to_numpy().astype(np.float32))
+            yield pa.RecordBatch.from_pydict({"bias": [machine.bias], "weights": [machine.weights.tobytes()], "factors": [machine.factors.tobytes()]})
+
+    learned = given.mapInArrow(run, "id long, label int, at binary, value binary").repartition(1).mapInArrow(learn, "bias double, weights binary, factors binary").first()
+    if learned is None:
+        return fit([], np.empty(0, np.float32))
+    return Machine(learned["bias"], np.frombuffer(learned["weights"], np.float32), np.frombuffer(learned["factors"], np.float32).reshape(SIZE, -1))
 
 
 def classify(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
