@@ -7,16 +7,19 @@ Seeds. Of the grams (of `gram` words) in a window, the window's anchor is the on
 leftmost of equals; equal windows have equal anchors, and a document has about 2 / (length - gram + 2)
 anchors a word. Documents are dealt into buckets by hash; a bucket sends the set of its anchors, and gets
 back those that another bucket has too (documents are joined on anchors without making pairs of them).
-Extension. Around shared anchors only, the match is extended both ways to all windows that the anchor
-stands for; their hashes (96 bits) go out with the least id that has them in the bucket, and those come
-back of which another bucket has a smaller id. Windows repeated inside a bucket need no exchange. Each
-document then joins its repeated windows to maximal runs.
+Extension. A match of two documents at an anchor is extended both ways, by the words before and after it, as far
+as the documents agree. All matches at an anchor are extended at once, without pairs: wherever two documents agree
+on `length` words around it, they have one of the windows in common for which the anchor stands, with the anchor at the
+same offset, and the whole match is the run of these windows. So each document extends its shared anchors to
+those windows; their 96-bit hashes go out with the least id that has them in the bucket, and those come back, in
+full, of which another bucket has a smaller id. Windows repeated inside a bucket need no exchange. Each document
+then joins its repeated windows to maximal runs, which are the matches with any smaller document, joined.
 
 Sets are exchanged packed, a row for each bucket and shard of the hash space, so that a hash that
 stands in a third of all documents crosses once a bucket. Buckets hold about BUCKET_BYTES of text, or one
 document. Texts are shuffled once, by bucket.
 
-Defined results: a null text has no words; a null id is below every other; rows with one id are one
+Defined results: a null text has no words; a null id is below every other; ids are cast to long; rows with one id are one
 document (none of them is smaller than another); texts of fewer than `length` words lose nothing; an empty
 table gives an empty table; other columns of the input are not carried along.
 """
@@ -100,6 +103,19 @@ def _held(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == x
 
 
+def _held_pairs(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which pairs of x and y stand in hashes and checks, sorted by hash."""
+    found = np.zeros(len(x), bool)
+    at = np.searchsorted(hashes, x)
+    open_ = np.flatnonzero(at < len(hashes))
+    while len(open_):  # once more for each further check of a hash
+        open_ = open_[hashes[at[open_]] == x[open_]]
+        found[open_] |= checks[at[open_]] == y[open_]
+        at[open_] += 1
+        open_ = open_[~found[open_] & (at[open_] < len(hashes))]
+    return found
+
+
 def _first_ids(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by hash and check; where each group begins in it; the least id of each group."""
     order = np.lexsort((checks, hashes))
@@ -163,12 +179,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         later[order] = i[order] > np.repeat(first, np.diff(np.append(starts, len(h))))
         at, out = 0, []
         for p in parts:
-            out.append(p[later[at : at + len(p)]].tobytes())
+            good = later[at : at + len(p)]
+            out.append((p[good].tobytes(), c[at : at + len(p)][good].tobytes()))
             at += len(p)
-        return pa.table({"b": table.column("b"), "hashes": pa.array(out, pa.binary())})
+        return pa.table({"b": table.column("b"), **{n: pa.array([x[k] for x in out], pa.binary()) for k, n in enumerate(("hashes", "checks"))}})
 
     def remove(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
-        elsewhere = np.sort(_joined(_unpacked(back.column("hashes"), np.uint64)))
+        elsewhere, their_checks = _joined(_unpacked(back.column("hashes"), np.uint64)), _joined(_unpacked(back.column("checks"), np.uint32), np.uint32)
+        order = np.argsort(elsewhere, kind="stable")
+        elsewhere, their_checks = elsewhere[order], their_checks[order]
         hashes, checks, counts, rows = [], [], [], []
         for i, words in words_of(table):
             rows.append(i)
@@ -182,7 +201,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order, starts, first = _first_ids(h, c, ids)
         repeated = np.empty(len(h), bool)
         repeated[order] = ids[order] > np.repeat(first, np.diff(np.append(starts, len(h))))
-        repeated |= _held(h, elsewhere)
+        repeated |= _held_pairs(h, c, elsewhere, their_checks)
         n_words, n_removed, kept, at, begins, ends, offsets = [], [], [], 0, [], [], [0]
         for n, (_, words) in zip(counts, words_of(table), strict=True):
             over = np.zeros(len(words) + 1, np.int32)
@@ -205,6 +224,6 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seeds = buckets.applyInArrow(send_anchors, "shard long, b long, hashes binary")
     shared = seeds.repartition(shards, "shard").groupBy("shard").applyInArrow(return_anchors, "b long, hashes binary")
     windows = buckets.cogroup(shared.groupBy("b")).applyInArrow(send_windows, "shard long, b long, hashes binary, checks binary, ids binary")
-    later = windows.repartition(shards, "shard").groupBy("shard").applyInArrow(return_windows, "b long, hashes binary")
+    later = windows.repartition(shards, "shard").groupBy("shard").applyInArrow(return_windows, "b long, hashes binary, checks binary")
     out = buckets.cogroup(later.groupBy("b")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string, repeats array<struct<start:int,end:int>>")
     return out.select(null_id_back(F.col("id")).alias(id_col), "n_words", "n_removed", "kept", "repeats")
