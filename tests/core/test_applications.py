@@ -96,7 +96,7 @@ def test_asof_and_recursion(spark):
     q = spark.createDataFrame([(0, "x", 2), (1, "x", 5), (2, "x", 7), (3, "z", 1)], "rid long, sym string, ts int")
     assert sorted(map(tuple, asof.asof_pairs(p, q, "sym", "ts").collect())) == [(0, 1), (1, None), (2, None)]
     edges = spark.createDataFrame([(0, 1, 2), (1, 2, 3), (2, 3, 1), (3, 3, 4), (4, 5, 6)], "rid long, src long, dst long")
-    paths = {(r["src"], r["dst"], tuple(r["edges"])) for r in recursive.reachable_lineage(edges, depth=10).collect()}
+    paths = {(r["src"], r["dst"], tuple(r["edges"])) for r in recursive.reachable_paths(edges, depth=10).collect()}
     assert (1, 4, (0, 1, 3)) in paths and (1, 1, (0, 1, 2)) in paths and (5, 6, (4,)) in paths and len(paths) == 14
 
 
@@ -105,3 +105,46 @@ def test_output_ids_by_ranges_are_those_of_one_window(spark):
     order = [F.col("x").desc(), F.col("id").asc()]
     a, b = (sorted(map(tuple, with_output_ids(df, order, read=e).collect())) for e in (0, 1 << 40))
     assert a == b
+
+
+def test_pairs_and_the_edges_behind_them(spark):
+    rows = [(0, 1, 2), (1, 2, 3), (2, 3, 1), (3, 3, 4), (4, 5, 6), (5, 6, 6), (6, 1, 2)]
+    edges = spark.createDataFrame(rows, "rid long, src long, dst long")
+    step = {(a, b) for _, a, b in rows}
+    pairs = set(step)
+    while more := {(a, d) for a, b in pairs for c, d in step if b == c} - pairs:
+        pairs |= more
+    assert {(r["src"], r["dst"]) for r in recursive.reachable(edges).collect()} == pairs
+    assert {(r["src"], r["dst"]): r["depth"] for r in recursive.reachable(edges).collect()}[1, 4] == 3
+    up_to = pairs | {(x, x) for e in step for x in e}
+    want = {(a, b, r) for r, s, d in rows for a, x in up_to if x == s for y, b in up_to if y == d}
+    assert {tuple(r) for r in recursive.reachable_edges(edges).collect()} == want
+
+
+def test_edges_that_lead_back_raise(spark):
+    edge = "source_table string, sink_table string, source_opid int, sink_opid int, out_rowid long, in_rowid long"
+    edges = [("LOGICAL_JOIN", "", 1, -1, 0, 0), ("LOGICAL_JOIN", "LOGICAL_JOIN", 2, 1, 0, 0), ("LOGICAL_JOIN", "LOGICAL_JOIN", 1, 2, 0, 0)]
+    with pytest.raises(ValueError, match="lead back"):
+        trace.end_to_end(spark.createDataFrame(edges, edge))
+
+
+def test_codes_of_many_values(spark, monkeypatch):
+    from tracewell.plans import block
+
+    base = spark.range(3000).selectExpr("id as rid", "if(id % 7 = 0, null, (id * 7919) % 1009) as x").repartition(6)
+    want = sorted(map(tuple, interventions.dictionary(base, "x").collect()), key=lambda r: r[1])
+    monkeypatch.setattr(block, "ONE_WINDOW_BYTES", 0)
+    assert sorted(map(tuple, interventions.dictionary(base, "x").collect()), key=lambda r: r[1]) == want
+
+
+def test_the_entry_hides_no_broken_import(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=repo, capture_output=True, text=True)
+    hidden = "import sys; sys.modules['{}'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    left_out = run(hidden.format("tracewell.llm"))
+    assert left_out.returncode == 0 and int(left_out.stdout) >= 100
+    assert run(hidden.format("duckdb")).returncode == 0 and "ModuleNotFoundError" in run(hidden.format("py4j")).stderr

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import queries
 from tracewell.operators import trace
-from tracewell.operators.recursive import reachable_lineage
+from tracewell.operators.recursive import reachable_paths
 from tracewell.session import ProvenanceSession
 
 SF = "/root/testdata/sf0.01"
@@ -44,13 +44,13 @@ def test_recursion_over_the_whole_table(spark):
 
 def test_paths_of_more_than_32_edges(spark):
     edges = spark.createDataFrame([(i, i, i + 1) for i in range(36)], "rid long, src long, dst long").coalesce(1)
-    paths = reachable_lineage(edges).collect()
+    paths = reachable_paths(edges).collect()
     assert len(paths) == 36 * 37 // 2 and {tuple(r["edges"]) for r in paths if r["depth"] == 36} == {tuple(range(36))}
-    assert max(r["depth"] for r in reachable_lineage(edges, depth=3).collect()) == 3
+    assert max(r["depth"] for r in reachable_paths(edges, depth=3).collect()) == 3
 
 
 def test_edges_of_each_operator(spark):
-    got, want = both(spark, "global_lineage_all")
+    got, want = both(spark, "global_provenance_all")
     assert got == want and {r[:2] for r in got} >= {("LOGICAL_JOIN", "LOGICAL_AGGREGATE"), ("customer", "LOGICAL_JOIN")}
 
 
@@ -71,9 +71,9 @@ def test_composed_edges_are_the_block(spark, sql, mode):
     for t in ("nation", "region", "customer", "orders"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").createOrReplaceTempView(t)
     s = ProvenanceSession(spark, mode)
-    s.set_persist_lineage(False)
+    s.set_persist_provenance(False)
     qid = s.capture(spark.sql(sql))
-    edges = s.global_lineage(qid).persist()
+    edges = s.global_provenance(qid).persist()
     found = {(r["source_opid"], r["out_rowid"], tuple(r["prov"])) for r in trace.end_to_end(edges).collect()}
     assert found == {(int(r["source"].split("_")[1]), r["output_id"], tuple(r["rids"])) for r in trace.backward(s.read_block(qid)).collect()}
     pairs = {(r["sink_opid"], r["source_opid"]) for r in edges.collect()}

@@ -1,4 +1,4 @@
-"""Cutting lineage by checkpoints in a folder that all executors share."""
+"""Cutting plans by checkpoints in a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -19,6 +19,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared checkpoint folder: computed once, no lineage behind them."""
+    """The rows, kept in the shared checkpoint folder: computed once, no plan behind them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

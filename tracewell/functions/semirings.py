@@ -37,16 +37,18 @@ def formula(block: DataFrame) -> DataFrame:
     return terms.groupBy(OUT).agg(F.array_sort(F.collect_list("t")).alias("ts")).select(OUT, F.array_join(F.col("ts.term"), " + ").alias("formula"))
 
 
-def poly_eval(block: DataFrame, model: str = "count") -> DataFrame:
-    """(output_id, value): the polynomial with every id standing for 1. count: the number of witnesses;
-    boolean: whether there is any; formula: the polynomial itself."""
+def poly_eval(block: DataFrame, model: str = "count", values: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(output_id, value): the polynomial with every id standing for 1, or for its value, if a column is named in
+    values. count: the number of witnesses; formula: the polynomial itself; boolean, multiplicity, security and
+    probability: as the functions of these names (multiplicity: `counted`)."""
     if model == "formula":
         return formula(block).withColumnRenamed("formula", "value")
     if model == "count":
         return block.groupBy(OUT).agg(F.count("*").alias("value"))
-    if model == "boolean":
-        return block.groupBy(OUT).agg((F.count("*") > 0).alias("value"))
-    raise ValueError(f"unknown model {model}")
+    models = {"boolean": boolean, "multiplicity": counted, "security": security, "probability": probability}
+    if model not in models:
+        raise ValueError(f"unknown model {model}")
+    return models[model](block, values or {})
 
 
 def _annotated(block: DataFrame, values: dict[str, DataFrame], unit: Column) -> tuple[DataFrame, list[Column]]:
@@ -81,7 +83,7 @@ def counted(block: DataFrame, values: dict[str, DataFrame]) -> DataFrame:
 def security(block: DataFrame, values: dict[str, DataFrame]) -> DataFrame:
     """(output_id, value): the least clearance that sees a result row, the highest level in its easiest witness."""
     rows, found = _annotated(block, values, F.lit(0))
-    level = found[0] if len(found) == 1 else F.greatest(*found)
+    level = F.greatest(*found) if len(found) > 1 else [*found, F.lit(0)][0]
     return rows.groupBy(OUT).agg(F.min(level).alias("value"))
 
 

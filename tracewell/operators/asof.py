@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.plans.block import with_output_ids
+from tracewell.plans.block import frame_bytes, with_output_ids
 
 
 def asof_pairs(left: DataFrame, right: DataFrame, key: str, time: str) -> DataFrame:
@@ -20,8 +20,8 @@ def asof_pairs(left: DataFrame, right: DataFrame, key: str, time: str) -> DataFr
     return both.withColumn("right_rid", carried).where("side = 1").select(F.col("rid").alias("left_rid"), "right_rid")
 
 
-def asof_lineage(left: DataFrame, right: DataFrame, key: str, time: str, order: list[str]) -> DataFrame:
+def asof_rows(left: DataFrame, right: DataFrame, key: str, time: str, order: list[str]) -> DataFrame:
     """(output_id, left_rid, right_rid) of an inner as-of join; outputs in order of columns of the left side."""
     pairs = asof_pairs(left, right, key, time).where("right_rid is not null")
     rows = pairs.join(left.select(F.col("rid").alias("left_rid"), *order), "left_rid")
-    return with_output_ids(rows, [*order, "left_rid"]).select("output_id", "left_rid", "right_rid")
+    return with_output_ids(rows, [*order, "left_rid"], read=frame_bytes(left)).select("output_id", "left_rid", "right_rid")

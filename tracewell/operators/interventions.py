@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.plans.block import frame_bytes, with_output_ids
+
 NESTED_LIMIT = 3_000
 NESTED_LIMIT_2D = 100
 BITS = 64
@@ -58,9 +60,10 @@ def dense_whatif(block: DataFrame, column: str, matrix: DataFrame, base: DataFra
 
 
 def dictionary(base: DataFrame, column: str) -> DataFrame:
-    """(val, code int): distinct values in order, null last, numbered from 0. Only distinct values are ordered in one task."""
+    """(val, code int): distinct values in order, null last, numbered from 0; those of large tables by ranges over
+    many tasks."""
     values = base.select(F.col(column).alias("val")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy(F.col("val").asc_nulls_last())) - 1).cast("int"))
+    return with_output_ids(values, [F.col("val").asc_nulls_last()], "code", frame_bytes(base)).withColumn("code", F.col("code").cast("int"))
 
 
 def dictionary_encode(base: DataFrame, columns: list[str]) -> DataFrame:
@@ -130,9 +133,14 @@ def prefix_equality_range(tm: DataFrame) -> DataFrame:
 
 
 def nested_equality_range(tm: DataFrame, n: int) -> DataFrame:
-    """(out, k, rk, removed, kept): the same for all pairs of codes."""
+    """(out, k, rk, removed, kept): the same for all pairs of codes. Counts of a code meet the range codes from their
+    own on, at most n, and the pairs that nothing is removed for are added by output, not by row."""
     _checked(n, NESTED_LIMIT_2D)
     counts = _per_code(tm, ["eq_predicate", "range_predicate"])
-    tried = counts.select("*", _each(n, "k")).select("*", _each(n, "rk"))
-    hit = (F.col("k") == F.col("eq_predicate")) & (F.col("range_predicate") <= F.col("rk"))
-    return tried.groupBy("out", "k", "rk").agg(F.sum(F.when(hit, F.col("v")).otherwise(0)).alias("removed"), F.sum(F.when(hit, 0).otherwise(F.col("v"))).alias("kept"))
+    hit = counts.where(F.col("eq_predicate").between(0, n - 1) & F.col("range_predicate").between(0, n - 1))
+    from_own = F.explode(F.sequence(F.col("range_predicate"), F.lit(n - 1))).alias("rk")
+    removed = hit.select("out", F.col("eq_predicate").alias("k"), "v", from_own).groupBy("out", "k", "rk").agg(F.sum("v").alias("removed"))
+    totals = counts.groupBy("out").agg(F.sum("v").alias("total"))
+    pairs = totals.select("out", "total", _each(n, "k")).select("*", _each(n, "rk")).select("out", F.col("k").cast("int").alias("k"), F.col("rk").cast("int").alias("rk"), "total")
+    gone = F.coalesce("removed", F.lit(0))
+    return pairs.join(removed, ["out", "k", "rk"], "left").select("out", "k", "rk", gone.alias("removed"), (F.col("total") - gone).alias("kept"))

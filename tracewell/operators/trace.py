@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.checkpoints import cut
 from tracewell.functions.semirings import OUT
 
 
@@ -32,17 +33,30 @@ def cross_filter(block: DataFrame, other: DataFrame, column: str, other_column:
     return rows.groupBy(OUT).agg(F.count("*").alias("n"))
 
 
-def end_to_end(edges: DataFrame, depth: int = 64) -> DataFrame:
+def _levels(edges: DataFrame) -> int:
+    """The number of operators on the longest way down; as many rows are collected as a plan has operators."""
+    below: dict[int, set[int]] = {}
+    for r in edges.select("sink_opid", "source_opid").distinct().collect():
+        below.setdefault(r["sink_opid"], set()).add(r["source_opid"])
+
+    def deep(opid: int, above: frozenset[int]) -> int:
+        if opid in above:
+            raise ValueError(f"the edges of operator {opid} lead back to it")
+        return 1 + max((deep(c, above | {opid}) for c in below.get(opid, ())), default=-1)
+
+    return deep(-1, frozenset())
+
+
+def end_to_end(edges: DataFrame) -> DataFrame:
     """(source_table, source_opid, out_rowid, prov array<long>) from operator edges: from the root's edges down,
-    a join for each level of the plan, until no operator is left; inner operators are not sources."""
+    a join for each level of the plan; inner operators are not sources."""
     level = edges.where("sink_opid = -1").select("source_table", "source_opid", "out_rowid", "in_rowid")
     reached = level
     steps = edges.where("sink_opid <> -1").select(F.col("source_table").alias("t"), F.col("source_opid").alias("o"), "sink_opid", F.col("out_rowid").alias("mid"), F.col("in_rowid").alias("rid"))
-    steps = steps.persist()
-    for _ in range(depth):
-        level = level.join(steps, (F.col("source_opid") == F.col("sink_opid")) & (F.col("in_rowid") == F.col("mid"))).select(F.col("t").alias("source_table"), F.col("o").alias("source_opid"), "out_rowid", F.col("rid").alias("in_rowid"))
-        if level.isEmpty():
-            break
+    for _ in range(_levels(edges) - 1):
+        inner = level.where("source_table like 'LOGICAL%'")
+        level = inner.join(steps, (F.col("source_opid") == F.col("sink_opid")) & (F.col("in_rowid") == F.col("mid"))).select(F.col("t").alias("source_table"), F.col("o").alias("source_opid"), "out_rowid", F.col("rid").alias("in_rowid"))
+        level = cut(level.distinct())
         reached = reached.unionByName(level)
     tables = reached.where("source_table not like 'LOGICAL%'").distinct()
     return tables.groupBy("source_table", "source_opid", "out_rowid").agg(F.array_sort(F.collect_list("in_rowid")).alias("prov"))

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.checkpoints import cut
-from tracewell.plans.annotate import Annotated, Annotator, Kept, Lineage
+from tracewell.plans.annotate import Annotated, Annotator, Kept, RowIds
 from tracewell.plans.catalyst import Catalyst
 from tracewell.plans.nodes import PlanNode
 
-#: Results of inputs beyond this size get their ids by ranges over many tasks instead of one window.
-ONE_WINDOW_BYTES = 1 << 30
-#: Up to so many result rows, their ids are broadcast to the witnesses.
+#: Results that may be larger than this get their ids by ranges over many tasks instead of one window.
+ONE_WINDOW_BYTES = 256 << 20
+#: Up to so many rows of a result that is kept, their ids are broadcast to the witnesses.
 BROADCAST_ROWS = 100_000
 
 
@@ -27,7 +27,7 @@ class _Sides:
     payload: list[str]
     sort: list[Column]
     identity: list[str]
-    lineage: list[str]
+    row_ids: list[str]
 
 
 def _root_sort(cat: Catalyst, n: PlanNode) -> Any | None:
@@ -38,8 +38,10 @@ def _root_sort(cat: Catalyst, n: PlanNode) -> Any | None:
 
 def _named(cat: Catalyst, root: PlanNode, a: Annotated, sort: Any | None, values: bool = True) -> _Sides:
     orders = cat.items(sort.order()) if sort is not None and values else []
-    groups = {"p": cat.output(root.node) if values else [], "s": [o.child() for o in orders], "i": a.identity, "l": [x.attribute for x in a.lineage]}
+    groups = {"p": cat.output(root.node) if values else [], "s": [o.child() for o in orders], "i": a.identity, "l": [x.attribute for x in a.row_ids]}
     columns = [cat.named(e, f"{g}{k}") for g, es in groups.items() for k, e in enumerate(es)]
+    if a.argument is not None:
+        columns.append(cat.named(a.argument, "argument"))
     frame = cat.frame(cat.project(columns, a.plan))
     keys = []
     for k, o in enumerate(orders):
@@ -56,8 +58,34 @@ def _orderable(frame: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if "map<" not in kinds[c] and "variant" not in kinds[c]]
 
 
+def frame_bytes(frame: DataFrame) -> int:
+    """Catalyst's estimate of a frame's size."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def most_bytes(cat: Catalyst, n: PlanNode) -> int:
+    """What an operator's result may measure: of a join on equal columns as much as both sides, of one on other conditions
+    their product, of a limit its rows."""
+    if not n.children:
+        return cat.bytes_of(n.node)
+    sizes = [most_bytes(cat, c) for c in n.children]
+    if n.name == "Join":
+        if n.join_type.upper().startswith(("LEFT SEMI", "LEFT ANTI", "EXISTENCE")):
+            return sizes[0]
+        if cat.equi_join(n.node):
+            return sum(sizes)
+        rows = [max(1, size // cat.row_bytes(c.node)) for size, c in zip(sizes, n.children, strict=True)]
+        return rows[0] * rows[1] * cat.row_bytes(n.node)
+    if n.name in ("GlobalLimit", "LocalLimit"):
+        limit = str(n.node.limitExpr())
+        return min(sizes[0], int(limit) * cat.row_bytes(n.node)) if limit.isdigit() else sizes[0]
+    if n.name == "Aggregate" and not cat.items(n.node.groupingExpressions()):
+        return cat.row_bytes(n.node)
+    return sum(sizes)
+
+
 def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id", read: int = 0) -> DataFrame:
-    """frame with 0-based places in an order. If much was read for it, it is dealt out by ranges of the order,
+    """frame with 0-based places in an order. If it may be large (read bytes), it is dealt out by ranges of the order,
     numbered within each range, and each range starts after the rows of those before it."""
     if read <= ONE_WINDOW_BYTES:
         return frame.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
@@ -93,7 +121,7 @@ def operator_edges(cat: Catalyst, root: PlanNode, mode: str = "left") -> list[tu
             *values, rid = cat.output(cat.analyzed(frame))
             rid = cat.named(rid, "__rid")
             plan = cat.project([cat.named_as(v, a) for v, (_, a) in zip(values, attributes, strict=True)] + [rid], cat.analyzed(frame))
-            kept[n.opid] = Kept(plan, Lineage(n.opid, f"LOGICAL_{n.name.upper()}", cat.attribute(rid)))
+            kept[n.opid] = Kept(plan, RowIds(n.opid, f"LOGICAL_{n.name.upper()}", cat.attribute(rid)))
         for opid, table in columns:
             edges = block.select(F.col("output_id").alias("out_rowid"), F.col(f"opid_{opid}_{table}").alias("in_rowid"))
             out.append((n, opid, table, edges.where("in_rowid is not null").distinct()))
@@ -102,39 +130,41 @@ def operator_edges(cat: Catalyst, root: PlanNode, mode: str = "left") -> list[tu
     return out
 
 
-def compose(cat: Catalyst, root: PlanNode, mode: str = "left", kept: dict[int, Kept] | None = None, by_identity: bool = False) -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
+def compose(cat: Catalyst, root: PlanNode, mode: str = "left", kept: dict[int, Kept] | None = None, by_identity: bool = False, keep: bool = False, argument: Any | None = None) -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
     """The block, the result with its output_id (and columns p0, p1, ...), and (opid, table) of the block's
     columns after output_id. Rows of the result that no table row stands behind aren't in the block.
 
-    If rows may have several witnesses, the result is computed and kept first; if it is small, its ids are
-    broadcast and the witnesses are neither shuffled nor sorted.
-
-    kept: operators that are read like tables; by_identity: ids in order of the rows' identity alone."""
+    keep: results whose rows may have several witnesses are computed and kept first, and the ids of small ones are
+    broadcast, so that the witnesses are neither shuffled nor sorted; without, nothing runs until the block is read, and
+    nothing is kept. kept: operators that are read like tables; by_identity: ids in order of the rows' identity
+    alone; argument: an expression over the input of the aggregate on top, a last column `argument` of the block."""
     sort = _root_sort(cat, root)
     carry = [a for o in cat.items(sort.order()) for a in cat.references(o)] if sort is not None else []
     annotator = Annotator(cat, mode, carry, kept)
-    a = annotator.root_witnesses(root)
-    order_of = sorted(range(len(a.lineage)), key=lambda k: a.lineage[k].opid)
-    columns = [(a.lineage[k].opid, a.lineage[k].table) for k in order_of]
-    named = [F.col(f"l{k}").alias(f"opid_{a.lineage[k].opid}_{a.lineage[k].table}") for k in order_of]
-    read = sum(int(str(n.node.stats().sizeInBytes())) for n in root.leaves())
+    a = annotator.root_witnesses(root, argument)
+    order_of = sorted(range(len(a.row_ids)), key=lambda k: a.row_ids[k].opid)
+    columns = [(a.row_ids[k].opid, a.row_ids[k].table) for k in order_of]
+    named = [F.col(f"l{k}").alias(f"opid_{a.row_ids[k].opid}_{a.row_ids[k].table}") for k in order_of]
+    named += [F.col("argument")] * (argument is not None)
     values = _named(cat, root, annotator.walk(root, False) if a.multiplied else a, sort)
     order = [*values.sort, *(F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.payload + values.identity))]
     if by_identity and values.identity:
         order = [F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.identity)]
-    numbered = with_output_ids(values.frame, order, read=read)
+    numbered = with_output_ids(values.frame, order, read=most_bytes(cat, root))
     if not a.multiplied:
         block = numbered.select("output_id", *named)
     else:
-        numbered = numbered.persist()
-        small = numbered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        small = False
+        if keep:
+            numbered = numbered.persist()
+            small = numbered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         ids = numbered.select("output_id", *(F.col(c).alias(f"v_{c}") for c in values.identity))
         ids = F.broadcast(ids) if small else ids
         witnesses = _named(cat, root, a, sort, values=False)
         condition = F.lit(True)
         for c in values.identity:
             condition = condition & F.col(c).eqNullSafe(F.col(f"v_{c}"))
-        block = (witnesses.frame.join(ids, condition) if values.identity else witnesses.frame.crossJoin(ids)).select("output_id", *named)
+        block = (witnesses.frame.join(ids, condition) if values.identity else witnesses.frame.crossJoin(F.broadcast(ids))).select("output_id", *named)
     if columns:
         some = F.coalesce(*(F.col(f"`opid_{o}_{t}`") for o, t in columns)).isNotNull()
         block = block.where(some)

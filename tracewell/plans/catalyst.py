@@ -24,6 +24,15 @@ class Catalyst:
         self.expressions = getattr(self.jvm.org.apache.spark.sql.catalyst, "expressions")
         self.logical = self.jvm.org.apache.spark.sql.catalyst.plans.logical
         self.converters = self.jvm.scala.jdk.javaapi.CollectionConverters
+        # looked up once: each look costs a few calls to the JVM
+        self._alias, self._expression = self.expressions.Alias, self.expressions.NamedExpression
+        self._project, self._none, self._empty = self.logical.Project, self._module(self.jvm.scala, "None"), self.seq([])
+        self._parsed: dict[str, Any] = {}
+
+    @staticmethod
+    def _module(package, name: str):
+        """A Scala object."""
+        return getattr(getattr(package, f"{name}$"), "MODULE$")
 
     # sequences
 
@@ -34,7 +43,7 @@ class Catalyst:
         return self.converters.asScala(out).toSeq()
 
     def items(self, scala_seq) -> list[Any]:
-        return list(self.converters.asJava(scala_seq))
+        return [scala_seq.apply(i) for i in range(scala_seq.length())]
 
     # frames and plans
 
@@ -73,14 +82,11 @@ class Catalyst:
 
     def named(self, expression, name: str):
         """The expression under a fresh expression id."""
-        none = getattr(getattr(self.jvm, "scala"), "None$").__getattr__("MODULE$")
-        new_id = self.expressions.NamedExpression.newExprId()
-        return self.expressions.Alias(expression, name, new_id, self.seq([]), none, self.seq([]))
+        return self._alias(expression, name, self._expression.newExprId(), self._empty, self._none, self._empty)
 
     def named_as(self, expression, attribute):
         """The expression under an attribute's name and expression id."""
-        none = getattr(getattr(self.jvm, "scala"), "None$").__getattr__("MODULE$")
-        return self.expressions.Alias(expression, attribute.name(), attribute.exprId(), self.seq([]), none, self.seq([]))
+        return self._alias(expression, attribute.name(), attribute.exprId(), self._empty, self._none, self._empty)
 
     def attribute(self, alias):
         return alias.toAttribute()
@@ -91,12 +97,24 @@ class Catalyst:
     def literal_long(self, value: int, name: str):
         return self.named(self._column_expression(f"bigint({value})"), name)
 
+    def literal_true(self):
+        return self._column_expression("true")
+
+    def is_not_null(self, expression):
+        return self.expressions.IsNotNull(expression)
+
+    def existence_attribute(self, join):
+        """The attribute that an existence join adds to its left side."""
+        return join.joinType().exists()
+
     def _column_expression(self, sql: str):
-        plan = self.spark.range(1).selectExpr(f"{sql} as x")._jdf.queryExecution().analyzed()
-        return self.items(plan.projectList())[0].child()
+        if sql not in self._parsed:
+            plan = self.spark.range(1).selectExpr(f"{sql} as x")._jdf.queryExecution().analyzed()
+            self._parsed[sql] = plan.projectList().apply(0).child()
+        return self._parsed[sql]
 
     def project(self, expressions: Iterable[Any], child):
-        return self.logical.Project(self.seq(expressions), child)
+        return self._project(self.seq(expressions), child)
 
     def with_children(self, node, children: Iterable[Any]):
         return node.withNewChildren(self.seq(children))
@@ -119,7 +137,7 @@ class Catalyst:
         return self.logical.Join(left, right, join_type, option, self.no_hint())
 
     def no_hint(self):
-        return getattr(getattr(self.jvm.org.apache.spark.sql.catalyst.plans.logical, "JoinHint$"), "MODULE$").NONE()
+        return self._module(self.logical, "JoinHint").NONE()
 
     def join_kind(self, node) -> str:
         """INNER, CROSS, LEFT OUTER, LEFT SEMI, ..., EXISTENCE."""
@@ -141,8 +159,7 @@ class Catalyst:
         return self.logical.Sort(self.seq(orders), getattr(node, "global")(), child, node.hint())
 
     def ascending(self, attribute):
-        module = lambda name: getattr(getattr(self.expressions, name), "MODULE$")
-        return self.expressions.SortOrder(attribute, module("Ascending$"), module("NullsFirst$"), self.seq([]))
+        return self.expressions.SortOrder(attribute, self._module(self.expressions, "Ascending"), self._module(self.expressions, "NullsFirst"), self._empty)
 
     def distinct(self, plan):
         return self.logical.Distinct(plan)
@@ -151,17 +168,36 @@ class Catalyst:
         none = self.expressions.Literal(None, attribute.dataType())
         return self.named(none, name)
 
-    def aggregate_functions(self, aggregate) -> list[tuple[str, str | None]]:
-        """(function, column) of each aggregate in the output of an Aggregate; the column is None if it isn't a plain one."""
+    def aggregate_arguments(self, aggregate) -> list[tuple[str, Any]]:
+        """(function, argument) of each aggregate in the output of an Aggregate; a null argument counts for nothing."""
         out = []
         for e in self.items(aggregate.aggregateExpressions()):
             inner = e.child() if self.kind(e) == "Alias" else e
-            if self.kind(inner) != "AggregateExpression":
-                continue
-            f = inner.aggregateFunction()
-            args = self.items(f.children())
-            at = args[0] if args else None
-            while at is not None and self.kind(at) == "Cast":
-                at = at.child()
-            out.append((self.kind(f), at.name() if at is not None and self.kind(at) == "AttributeReference" else None))
+            if self.kind(inner) == "AggregateExpression":
+                f = inner.aggregateFunction()
+                out.append((self.kind(f), self.items(f.children())[0]))
         return out
+
+    def equi_join(self, join) -> bool:
+        """Whether a join's condition equates columns of both sides."""
+        condition = self.condition(join)
+        if condition is None:
+            return False
+        left, right = ({self.id_of(a) for a in self.output(c)} for c in self.children(join))
+        todo = [condition]
+        while todo:
+            e = todo.pop()
+            if self.kind(e) == "And":
+                todo += self.items(e.children())
+            elif self.kind(e) in ("EqualTo", "EqualNullSafe"):
+                a, b = ({self.id_of(x) for x in self.references(c)} for c in self.items(e.children()))
+                if a and b and ((a <= left and b <= right) or (a <= right and b <= left)):
+                    return True
+        return False
+
+    def bytes_of(self, node) -> int:
+        """Catalyst's estimate of a node's size."""
+        return int(str(node.stats().sizeInBytes()))
+
+    def row_bytes(self, node) -> int:
+        return 8 + sum(a.dataType().defaultSize() for a in self.output(node))

@@ -37,11 +37,11 @@ class PlanNode:
         return [n for n in self.walk() if not n.children and n.table]
 
     def as_dict(self) -> dict:
-        """The keys of the plan that lineage_meta() shows."""
+        """The keys of the plan that provenance_meta() shows."""
         return {
             "opid": self.opid, "name": self.name, "sink_opid": self.sink_opid, "source_opids": self.source_opids, "table": self.table,
             "source_table": [n.table for n in self.walk() if n.opid in self.source_opids and n.table],
-            "materializes_lineage": self.materializes, "children": [c.as_dict() for c in (*self.children, *self.subqueries)],
+            "materializes": self.materializes, "children": [c.as_dict() for c in (*self.children, *self.subqueries)],
         }
 
     def to_json(self) -> str:
@@ -75,7 +75,7 @@ def build(cat: Catalyst, root) -> PlanNode:
         count += 1
         if kind == "Join":
             made.join_type = cat.join_kind(node)
-        if not children and kind != "OneRowRelation":
+        if not children and kind not in ("OneRowRelation", "UnionLoopRef"):
             made.table = table_name(cat, node)
         made.children = [make(c) for c in children]
         made.subqueries = [make(p) for p in cat.scalar_subqueries(node)] if kind in ("Filter", "Project") else []

@@ -25,7 +25,8 @@ def with_row_ids(df: DataFrame, name: str, kind: str = "LogicalRelation") -> Dat
         placed = placed.join(side, "__file", "left")
         return placed.select(*(placed[c] for c in df.columns), (F.col("__at") + F.col("__start")).alias(name))
     if kind == "Range":
-        return df.select("*", (F.row_number().over(Window.orderBy(F.col(df.columns[0]))) - 1).cast("long").alias(name))
+        plan = df._jdf.queryExecution().analyzed()
+        return df.select("*", F.expr(f"(`{df.columns[0]}` - {plan.start()}L) div {plan.step()}L").alias(name))
     if kind == "LocalRelation":
         return df.select("*", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("long").alias(name))
     return _by_partition(df, name)

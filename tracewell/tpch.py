@@ -61,7 +61,7 @@ QUERIES: dict[str, str] = {
             select n_name as nation, cast(extract(year from o_orderdate) as int) as o_year, {NET} - ps_supplycost * {QUANTITY} as amount
             from part, supplier, lineitem, {PARTSUPP} partsupp, orders, nation
             where s_suppkey = l_suppkey and ps_suppkey = l_suppkey and ps_partkey = l_partkey and p_partkey = l_partkey and o_orderkey = l_orderkey
-            and s_nationkey = n_nationkey and p_name like '%1%') as profit
+            and s_nationkey = n_nationkey and p_name like '%blue%') as profit
         group by nation, o_year order by nation, o_year desc""",
     "q10": f"""select c_custkey, c_name, cast(sum({NET}) as double) as revenue, c_acctbal, n_name
         from customer, orders, lineitem, nation
@@ -104,7 +104,7 @@ QUERIES: dict[str, str] = {
         or (p_partkey = l_partkey and p_brand = 'Brand#23' and l_quantity >= 10 and l_quantity <= 10 + 10 and p_size between 1 and 10)
         or (p_partkey = l_partkey and p_brand = 'Brand#34' and l_quantity >= 20 and l_quantity <= 20 + 10 and p_size between 1 and 15)""",
     "q20": f"""select s_name, s_acctbal from supplier, nation where s_suppkey in (
-            select ps_suppkey from {PARTSUPP} partsupp where ps_partkey in (select p_partkey from part where p_name like '%7%')
+            select ps_suppkey from {PARTSUPP} partsupp where ps_partkey in (select p_partkey from part where p_name like '%red%')
             and ps_availqty > (select 0.5 * sum({QUANTITY}) from lineitem where l_partkey = ps_partkey and l_suppkey = ps_suppkey
                 and l_shipdate >= cast('1996-01-01' as date) and l_shipdate < cast('1997-01-01' as date)))
         and s_nationkey = n_nationkey and n_name = 'NATION_4' order by s_name""",
