@@ -1,7 +1,12 @@
+import hashlib
+import struct
+import zlib
+
 import numpy as np
 import pytest
 
 from tracewell.llm import telephony as t
+from tracewell.llm.queries import op7_telephony
 
 
 def test_tables_hold_known_values():
@@ -71,6 +76,63 @@ def test_resampled_pcm_is_stored_beside_the_codes(spark, tmp_path):
         assert r["pcm"] == again[i] and len(r["pcm"]) == 4 * len(t.unwav(bytes(r["media"]))[3])
 
 
+def plain_mu_law(code):
+    code = ~code & 255
+    size = ((((code & 15) << 3) + 132) << (code >> 4 & 7)) - 132
+    return -size if code & 128 else size
+
+
+def plain_a_law(code):
+    code ^= 0x55
+    segment, size = code >> 4 & 7, (code & 15) * 16 + 8
+    size = size if segment == 0 else (size + 256) << segment - 1
+    return size if code & 128 else -size
+
+
+def plain_measures(x):
+    return f"{len(x)},{sum(v * v for v in x)},{max(map(abs, x))},{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+
+
+def plain_row(text):
+    raw = (text or "").encode()
+    payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+    pcm = [plain_mu_law(c) for c in payload]
+    twice = [v for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for v in (a, (a + b + 1) // 2)]
+    adpcm = [v for k in range(0, len(payload), 576) for v in adpcm_by_sample(payload[k : k + 576])]
+    feature = f"rate=16000;pcm={plain_measures(twice)};alaw={plain_measures([plain_a_law(c) for c in payload])};adpcm={plain_measures(adpcm)}"
+    body = b"WAVEfmt " + struct.pack("<IHHIIHHH", 18, 7, 1, 8000, 8000, 1, 8, 0) + b"fact" + struct.pack("<II", 4, len(payload)) + b"data" + struct.pack("<I", len(payload)) + payload
+    media = b"RIFF" + struct.pack("<I", len(body)) + body
+    return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, 2 * len(twice), hashlib.sha256(struct.pack(f"<{len(twice)}h", *twice)).hexdigest())
+
+
+def test_the_query_equals_the_plain_version(spark, tmp_path):
+    texts = ["", None, "a", "Plain words, " * 40, "x" * 576, "x" * 577, "é ü 漢字 \U0001f600\r\n\t" * 60, "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"]
+    got = {r["doc_id"]: tuple(r[n] for n in names) for r in op7_telephony(spark, str(tmp_path)).collect()}
+    assert got == {i: plain_row(x) for i, x in enumerate(texts)}
+
+
+def test_files_that_are_not_whole(spark):
+    df = spark.createDataFrame([(1, 3, None), (2, 5, t.wav(b"abcde")), (3, 0, None)], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in t.read(df, with_pcm=True).collect()}
+    assert len(rows) == 3 and rows[2]["payload"] == b"abcde" and len(rows[2]["pcm"]) == 20
+    assert rows[1]["n_bytes"] == 3 and [rows[1][c] for c in ("media", "payload", "feature", "pcm")] == [None] * 4
+    assert [r["feature"] for r in t.read(df.where("media is null")).collect()] == [None, None]
+    for broken in (b"", b"RIFF\0\0\0\0WAVE", t.wav(b"ab")[:44]):
+        with pytest.raises(ValueError):
+            t.unwav(broken)
+
+
+def test_stored_pcm_is_what_is_read(spark):
+    texts = ["", None, "a", "x" * 577, "é" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = [tuple(r) for r in t.round_trip(df).orderBy("doc_id").collect()]
+    assert once == [tuple(r) for r in t.read(t.store(df, pcm_rate=16_000), pcm_col="pcm", with_pcm=True).orderBy("doc_id").collect()]
+    assert once == [tuple(r) for r in t.read(t.store(df), with_pcm=True).orderBy("doc_id").collect()]
+    assert t.round_trip(df.limit(0)).count() == 0
+
+
 def df_lit():
     from pyspark.sql import functions as F
 

@@ -44,12 +44,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = telephony.store(table(spark, sf_dir, "documents"))
-    back = telephony.read(stored)
+    back = telephony.round_trip(table(spark, sf_dir, "documents"), rate=16_000)
     tail = F.substring("payload", -32, 32)
     return back.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 

@@ -4,11 +4,13 @@
 file's chunks apart again. `decode` expands codes to 16-bit PCM and resamples it: mu-law and A-law through
 a table of 256 values; ADPCM, whose samples depend on those before them in a block, by one numpy step for
 each place in a block, over all blocks of a batch at once. All arithmetic is in integers, so equal bytes
-give equal results whatever else is in the batch.
+give equal results whatever else is in the batch. The resampled PCM is stored beside the codes, if asked for, and
+read back for its measures.
 
 Defined results: a null text is an empty one, whose payload is one unit of filling; repeated rows get a
 row each; ties don't arise; an empty table gives an empty table; long texts are cut into media of
-their whole length, worked on in slices of a batch. Other columns of the input are not carried along.
+their whole length, worked on in slices of a batch; a null media file reads as a row without payload,
+measures and PCM, and one that isn't WAV, or lacks its format or data, raises. Other columns of the input are not carried along.
 """
 
 from __future__ import annotations
@@ -116,6 +118,8 @@ def unwav(media: bytes) -> tuple[int, int, int, bytes]:
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         found[name] = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
+    if not {b"fmt ", b"data"} <= found.keys():
+        raise ValueError("a WAV file without format or data")
     kind, _, rate, _, block = struct.unpack_from("<HHIIH", found[b"fmt "])
     return kind, rate, block, found[b"data"]
 
@@ -147,26 +151,42 @@ def _measures(pcm: np.ndarray, lengths: np.ndarray) -> list[str]:
     return out
 
 
+def _stored(batches: Iterator[pa.RecordBatch], pcm_rate: int | None) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) to (id, n_bytes, media[, pcm])."""
+    for batch in batches:
+        for part in pieces_of(batch, "text", 2 << 20):
+            found = texts(part)
+            codes = [payload(t) for t in found]
+            columns = [part.column(0), pa.array([len(t.encode()) for t in found], pa.int64()), pa.array([wav(c) for c in codes], pa.binary())]
+            if pcm_rate:
+                lengths = np.array([len(c) for c in codes], np.int64)
+                columns.append(_pcm_column(*resample(expand(b"".join(codes), MU_LAW), lengths, pcm_rate, RATE)))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "media", *["pcm"] * bool(pcm_rate)])
+
+
+def _renamed(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays(b.columns, names)
+
+
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pcm_rate: int | None = None) -> DataFrame:
     """(id, n_bytes long, media binary[, pcm binary]): each text's payload as a mu-law WAV file; with a pcm_rate also its
     PCM (int16) resampled to that rate, beside the codes, which stay the lossless form."""
     need(df, id_col, text_col)
-    kind = dict(df.dtypes)[id_col]
+    names = [id_col, "n_bytes", "media", *["pcm"] * bool(pcm_rate)]
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, n_bytes long, media binary" + ", pcm binary" * bool(pcm_rate)
+    given = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    return given.mapInArrow(lambda batches: _renamed(_stored(batches, pcm_rate), names), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces_of(batch, "text", 2 << 20):
-                found = texts(part)
-                sizes = [len(t.encode()) for t in found]
-                codes = [payload(t) for t in found]
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array([wav(c) for c in codes], pa.binary())]
-                if pcm_rate:
-                    lengths = np.array([len(c) for c in codes], np.int64)
-                    columns.append(_pcm_column(*resample(expand(b"".join(codes), MU_LAW), lengths, pcm_rate, RATE)))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "media", *["pcm"] * bool(pcm_rate)])
 
-    schema = f"`{id_col}` {kind}, n_bytes long, media binary" + ", pcm binary" * bool(pcm_rate)
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 16_000) -> DataFrame:
+    """(id, n_bytes long, media binary, payload binary, feature string, pcm binary): what `read` gives of what `store` has
+    stored, codes and PCM, in one pass over pieces of about 2 MB of text."""
+    need(df, id_col, text_col)
+    names = [id_col, "n_bytes", "media", "payload", "feature", "pcm"]
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, n_bytes long, media binary, payload binary, feature string, pcm binary"
+    given = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    return given.mapInArrow(lambda batches: _renamed(_read(_stored(batches, rate), 1, rate, True, True), names), schema)
 
 
 def _pcm_column(pcm: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -174,43 +194,53 @@ def _pcm_column(pcm: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.array([pcm[e - k : e].astype("<i2").tobytes() for e, k in zip(ends, lengths, strict=True)], pa.binary())
 
 
-def read(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ("n_bytes",), rate: int = 16_000, with_pcm: bool = False) -> DataFrame:
+def _read(batches: Iterator[pa.RecordBatch], n: int, rate: int, with_pcm: bool, has_pcm: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, n kept columns, media[, pcm]) to (id, kept columns, media, payload, feature[, pcm])."""
+    for batch in batches:
+        for part in pieces_of(batch, "media", 2 << 20):
+            media = part.column(n + 1).to_pylist()
+            here = [k for k, m in enumerate(media) if m is not None]
+            files = [unwav(media[k]) for k in here]
+            if has_pcm:
+                stored = part.column(n + 2).to_pylist()
+                again = [np.frombuffer(stored[k] or b"", "<i2") for k in here]
+                resampled, new = np.concatenate(again or [np.empty(0, "<i2")]), np.array([len(x) for x in again], np.int64)
+            else:
+                resampled, new = _by_rate([expand(f[3], f[0], f[2]) for f in files], [f[1] for f in files], rate)
+            said = [f"rate={rate};pcm={x}" for x in _measures(resampled, new)]
+            codes = [f[3] for f in files]
+            fits = [k for k, c in enumerate(codes) if c and len(c) % UNIT == 0]
+            if fits:
+                sizes = np.array([len(codes[k]) for k in fits], np.int64)
+                raw = np.frombuffer(b"".join(codes[k] for k in fits), np.uint8)
+                as_a = _measures(TABLES[A_LAW][raw], sizes)
+                as_adpcm = _measures(decode_adpcm(raw.reshape(-1, UNIT)).ravel(), sizes // UNIT * (2 * UNIT - 7))
+                for k, a, d in zip(fits, as_a, as_adpcm, strict=True):
+                    said[k] += f";alaw={a};adpcm={d}"
+            at = pa.array(np.searchsorted(here, np.arange(len(media))), mask=np.isin(np.arange(len(media)), here, invert=True))
+            columns = [part.column(i) for i in range(n + 2)] + [pa.array(codes, pa.binary()).take(at), pa.array(said, pa.string()).take(at)]
+            if with_pcm:
+                columns.append(_pcm_column(resampled, new).take(at))
+            names = ["id", *(f"k{k}" for k in range(n)), "media", "payload", "feature", *["pcm"] * with_pcm]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def read(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ("n_bytes",), rate: int = 16_000, with_pcm: bool = False, pcm_col: str | None = None) -> DataFrame:
     """(id, kept columns, media, payload binary, feature string[, pcm binary]) from WAV files: the stored
     codes; the length, sum of squares, peak and sign changes of the PCM resampled to `rate`, then of the
-    same codes taken as A-law and, if they fill UNIT-byte blocks, as ADPCM; the resampled PCM (int16)."""
-    need(df, id_col, media_col, *keep)
+    same codes taken as A-law and, if they fill UNIT-byte blocks, as ADPCM; the resampled PCM (int16). With a pcm_col
+    the PCM is not made again but is what that column stores, at `rate`."""
+    need(df, id_col, media_col, *keep, *[pcm_col] * bool(pcm_col))
     types = dict(df.dtypes)
-    n = len(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces_of(batch, "media", 2 << 20):
-                files = [unwav(m) for m in part.column(n + 1).to_pylist()]
-                lengths = np.array([len(expand(f[3], f[0], f[2])) if f[0] == IMA_ADPCM else len(f[3]) for f in files], np.int64)
-                pcm = np.concatenate([expand(f[3], f[0], f[2]) for f in files])
-                resampled, new = _by_rate(pcm, lengths, [f[1] for f in files], rate)
-                said = [f"rate={rate};pcm={x}" for x in _measures(resampled, new)]
-                codes = [f[3] for f in files]
-                fits = [k for k, c in enumerate(codes) if c and len(c) % UNIT == 0]
-                if fits:
-                    sizes = np.array([len(codes[k]) for k in fits], np.int64)
-                    raw = np.frombuffer(b"".join(codes[k] for k in fits), np.uint8)
-                    as_a = _measures(TABLES[A_LAW][raw], sizes)
-                    as_adpcm = _measures(decode_adpcm(raw.reshape(-1, UNIT)).ravel(), sizes // UNIT * (2 * UNIT - 7))
-                    for k, a, d in zip(fits, as_a, as_adpcm, strict=True):
-                        said[k] += f";alaw={a};adpcm={d}"
-                columns = [part.column(i) for i in range(n + 2)] + [pa.array(codes, pa.binary()), pa.array(said, pa.string())]
-                if with_pcm:
-                    columns.append(_pcm_column(resampled, new))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, *keep, "media", "payload", "feature", *["pcm"] * with_pcm])
-
+    names = [id_col, *keep, "media", "payload", "feature", *["pcm"] * with_pcm]
     schema = ", ".join([f"`{id_col}` {types[id_col]}", *(f"`{k}` {types[k]}" for k in keep), "media binary, payload binary, feature string" + ", pcm binary" * with_pcm])
-    return df.select(df[id_col].alias("id"), *keep, df[media_col].alias("media")).where("media is not null").mapInArrow(run, schema)
+    given = df.select(df[id_col].alias("id"), *keep, df[media_col].alias("media"), *[df[c].alias("pcm") for c in [pcm_col] if c])
+    return given.mapInArrow(lambda batches: _renamed(_read(batches, len(keep), rate, with_pcm, pcm_col is not None), names), schema)
 
 
-def _by_rate(pcm: np.ndarray, lengths: np.ndarray, rates: list[int], rate: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_rate(pcm: list[np.ndarray], rates: list[int], rate: int) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(x) for x in pcm], np.int64)
     if len({*rates}) == 1:
-        return resample(pcm, lengths, rate, rates[0])
-    starts = np.cumsum(lengths) - lengths
-    each = [resample(pcm[s : s + n], np.array([n]), rate, r) for s, n, r in zip(starts, lengths, rates, strict=True)]
-    return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+        return resample(np.concatenate(pcm), lengths, rate, rates[0])
+    each = [resample(x, np.array([len(x)]), rate, r) for x, r in zip(pcm, rates, strict=True)]
+    return np.concatenate([x for x, _ in each] or [np.empty(0, np.int16)]), np.array([int(n[0]) for _, n in each], np.int64)
