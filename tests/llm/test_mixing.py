@@ -52,3 +52,30 @@ def test_odd_rows(spark, odd_docs):
     one = spark.createDataFrame([(1, "a b c", "x")], "doc_id long, text string, source string")
     assert m.mix(one).select("target", "taken").first() == (4.5, 5)
     assert m.mix(one.withColumn("text", F.lit(None).cast("string"))).select("size", "target", "taken").first() == (0, 0.0, 0)
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    docs = [(None, f"{k} " + "w " * (k % 5 + 1), f"s{k % 3}") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    size = {t: len(t.split()) for _, t, _ in docs}
+    mixed = [r["text"] for r in m.mixed_documents(df).collect()]
+    assert all(mixed.count(t) <= 2 for t in size) and len({mixed.count(t) for t in size}) > 1
+    for source, target in {(r["source"], r["target"]) for r in m._taken(df, (3, 1, 2), 1.5, 2, "mix", "doc_id", "text", "source").collect()}:
+        assert abs(sum(size[t] * mixed.count(t) for _, t, s in docs if s == source) - target) <= 5
+
+
+def test_many_sources_are_not_put_in_order_at_once(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = [(i, "w " * rng.choice([0, 1, 7, 300]), f"s{i % 150}" if i % 11 else None) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    want = sorted(tuple(r) for r in m.mix(df).collect())
+    monkeypatch.setattr(m, "BINS", 4)
+    monkeypatch.setattr(m, "ORDERED_SOURCES", 10)
+    monkeypatch.setattr(m, "BROADCAST_SOURCES", 10)
+    assert sorted(tuple(r) for r in m.mix(df).collect()) == want
+    for sizes in ([0, 0], [5], [1, 1, 1, 1], [0, 9, 100, 7, 7, 7, 50_000]):
+        given = [(f"s{i}", s, float((3, 1, 2)[i % 3])) for i, s in enumerate(sizes)]
+        sources = spark.createDataFrame(given, "source string, source_size long, weight double")
+        got = [r["target"] for r in m.targets(sources, 1.5, 2, 11).orderBy("source").collect()]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, filled(sizes, [w for *_, w in given], 1.5, 2), strict=True))
+    assert m.targets(sources.limit(0), 1.5, 2, 0).count() == 0

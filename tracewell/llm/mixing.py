@@ -4,7 +4,8 @@ Each source asks for its share, by weight, of `share` times all words; a source
 max_epochs times its words, and what is clamped off is shared out among the rest by weight until none
 is above. As clamping only raises the others' level, the end is one water level: with sources in order
 of cap / weight, the first k are clamped and the level is what remains over the weights that remain.
-That level comes from running sums over the table of sources.
+That level comes from running sums over the table of sources; for more than ORDERED_SOURCES of them, from sums over
+bins of that order, the bin in which the level lies being cut into bins again until one ratio is left.
 
 A source's target is taken as whole repetitions of every document, and for the fraction that remains
 as the documents that come first in a seeded order (by the md5 of seed and id), until the remaining words
@@ -24,22 +25,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm._common import by_place, cut, need, place_of
+from tracewell.plans.block import with_output_ids
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS_HEX = 3
 #: Up to so many sources their table is broadcast; beyond, it is joined as Spark decides.
 BROADCAST_SOURCES = 100_000
-
-
-def cycled(weights: tuple[float, ...]) -> Column:
-    """Weights for sources by code point, null last, repeating."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
-
-
-def targets(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
-    """sources (source, source_size long, weight double) with target double. One row for each source;
-    the table of sources, not of documents, is ordered in one task."""
+#: Up to so many sources (a row each) are put in order in one task.
+ORDERED_SOURCES = 2_000_000
+BINS = 1_024
+
+
+def cycled(sources: DataFrame, weights: tuple[float, ...], n: int) -> DataFrame:
+    """n sources (source, ...) with weight: by code point, null last, repeating."""
+    order = [F.col("source").asc_nulls_last()]
+    placed = with_output_ids(sources, order, "place", 0 if n <= ORDERED_SOURCES else 1 << 62)
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    return placed.withColumn("weight", weight).drop("place")
+
+
+def water_level(sources: DataFrame, total: float) -> float | None:
+    """The level that fills sources (cap, weight, ratio) up to a total, each to level * weight or its cap; None if all
+    are clamped. Bins of the ratios are collected with their sums, never sources."""
+    low, high, weights = sources.agg(F.min("ratio"), F.max("ratio"), F.sum("weight")).first()
+    below = clamped = 0.0  # weights and caps of the sources under the bin
+    while low is not None:
+        inside = sources.where(F.col("ratio").between(low, high))
+        bin_ = F.least(F.floor((F.col("ratio") - low) / (high - low) * BINS), F.lit(BINS - 1)) if high > low else F.lit(0)
+        bins = inside.groupBy(bin_.alias("bin")).agg(F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.sum("cap").alias("cap"), F.sum("weight").alias("weight"))
+        for r in bins.orderBy("bin").collect():
+            if clamped + r["cap"] + r["high"] * (weights - below - r["weight"]) >= total:
+                break
+            clamped += r["cap"]
+            below += r["weight"]
+        else:
+            return None
+        if r["low"] == r["high"]:
+            return (total - clamped) / (weights - below)
+        low, high = r["low"], r["high"]
+    return None
+
+
+def targets(sources: DataFrame, share: float, max_epochs: float, n: int = 0) -> DataFrame:
+    """n sources (source, source_size long, weight double) with target double. One row for each source; the table of up to
+    ORDERED_SOURCES sources is ordered in one task."""
+    if n > ORDERED_SOURCES:
+        s = sources.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+        s = cut(s.withColumn("ratio", F.col("cap") / F.col("weight")))
+        level = water_level(s, float(s.agg(F.sum("source_size")).first()[0]) * share)
+        filled = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("weight"))
+        return s.select("source", "source_size", "weight", filled.alias("target"))
     by_level = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -55,13 +90,19 @@ def targets(sources: DataFrame, share: float, max_epochs: float) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size long, source_size long, target double, taken long) of each row."""
+    return _taken(docs, weights, share, max_epochs, seed, id_col, text_col, source_col).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(id, source, mark, size, source_size, target, taken): mark is the hash of the text."""
     need(docs, id_col, text_col, source_col)
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
-    rows = cut(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), order.alias("place")))
+    rows = cut(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), F.xxhash64(docs[text_col]).alias("mark"), size.alias("size"), order.alias("place")))
     bins = cut(rows.groupBy("source", F.substring("place", 1, BINS_HEX).alias("bin")).agg(F.sum("size").alias("size")))
-    sources = bins.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", cycled(weights))
-    goal = targets(sources, share, max_epochs)
+    n_sources = bins.select("source").distinct().count()
+    sources = cycled(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, n_sources)
+    goal = targets(sources, share, max_epochs, n_sources)
     words = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size")).cast("long")).otherwise(F.lit(0))
     goal = goal.withColumn("whole", whole).withColumn("extra", words - F.col("whole") * F.col("source_size"))
@@ -69,13 +110,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     upto = Window.partitionBy("source").orderBy("bin")
     summed = bins.withColumn("upto", F.sum("size").over(upto))
     same = F.col("g.source").eqNullSafe(F.col("b.source"))
-    border = summed.alias("b").join(F.broadcast(goal).alias("g") if _few(bins) else goal.alias("g"), same)
+    border = summed.alias("b").join(F.broadcast(goal).alias("g") if n_sources <= BROADCAST_SOURCES else goal.alias("g"), same)
     border = border.where("b.upto >= g.extra").groupBy("b.source").agg(F.min_by(F.struct("b.bin", (F.col("b.upto") - F.col("b.size")).alias("before")), "b.bin").alias("border"))
     plan = goal.alias("g").join(border.alias("b"), same, "left").select("g.*", "b.border.bin", "b.border.before")
     plan = cut(plan)
-    side = F.broadcast(plan.alias("p")) if plan.count() <= BROADCAST_SOURCES else plan.alias("p")
+    side = F.broadcast(plan.alias("p")) if n_sources <= BROADCAST_SOURCES else plan.alias("p")
     joined = rows.alias("r").join(side, F.col("r.source").eqNullSafe(F.col("p.source")))
-    joined = joined.select("r.id", "r.size", "r.source", "r.place", "p.source_size", "p.target", "p.whole", "p.extra", "p.bin", "p.before", F.substring("r.place", 1, BINS_HEX).alias("own_bin"))
+    joined = joined.select("r.id", "r.size", "r.source", "r.mark", "r.place", "p.source_size", "p.target", "p.whole", "p.extra", "p.bin", "p.before", F.substring("r.place", 1, BINS_HEX).alias("own_bin"))
     inside = joined.where("own_bin = bin")
     outside = joined.where("own_bin <> bin or bin is null")
     running = Window.partitionBy("source", "own_bin").orderBy("place", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,20 +124,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     inside = inside.withColumn("part", F.greatest(F.lit(0), F.least("size", left)))
     outside = outside.withColumn("part", F.when(F.col("own_bin") < F.col("bin"), F.col("size")).otherwise(F.lit(0)))
     every = inside.unionByName(outside)
-    return every.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"))
-
-
-def _few(bins: DataFrame) -> bool:
-    return bins.select("source").distinct().count() <= BROADCAST_SOURCES
+    return every.select("id", "source", "mark", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as many times as its taken words hold it whole, the half and more of
-    a document counting as one. Texts stay whole. Columns are those of docs. Rows with one id must be
-    copies of one row, or all have their own ids."""
-    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    a document counting as one, documents without words once. Texts stay whole. Columns are those of docs."""
+    taken = _taken(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
-    reps = taken.select(F.col(id_col).alias("id"), times.alias("times")).groupBy("id").agg(F.max("times").alias("times")).where("times > 0")
+    reps = taken.groupBy("id", "source", "mark").agg(F.max(times).alias("times")).where("times > 0")
     placed, names = by_place(docs)
-    joined = placed.join(reps, placed[place_of(docs, id_col)].eqNullSafe(reps["id"]))
+    own = [F.col(place_of(docs, id_col)), F.col(place_of(docs, source_col)), F.xxhash64(place_of(docs, text_col))]
+    same = own[0].eqNullSafe(reps["id"]) & own[1].eqNullSafe(reps["source"]) & (own[2] == reps["mark"])
+    joined = placed.join(reps, same)
     return joined.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*names).toDF(*docs.columns)
