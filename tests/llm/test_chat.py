@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import chat as c
+from tracewell.llm.queries import op10_chat
 
 ROLE = {1: "system", 2: "user", 3: "assistant"}
 
@@ -108,3 +109,21 @@ def test_rows_without_turn_numbers_are_cut_by_place(spark, monkeypatch):
     key = lambda r: [(x is not None, x) for x in r[1:]]
     read = [(r[3], re.sub(r"^(<\|end\|>\n)?(<\|\w+\|>\n|\n\n)|<\|end\|>\n$", "", r[7])) for r in out if r[0] == 1 and r[4] != "insert"]
     assert read == [(t[1], t[3] or "") for t in sorted((t for t in turns if t[0] == 1), key=key)]
+
+
+def test_the_query_on_a_whole_table(spark):
+    d = "/root/testdata/sf0.01"
+    turns = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in spark.read.parquet(f"{d}/conversations.parquet").collect()]
+    got = {}
+    for r in op10_chat(spark, d).collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    own = {}
+    for t in sorted(turns, key=lambda t: [(x is not None, x) for x in t[:3]]):
+        own.setdefault(t[0], []).append(t)
+    assert got.keys() == own.keys()
+    code = {"system": 1, "user": 2, "assistant": 3}
+    for conv, rows in got.items():
+        text = text_of(rows)
+        roles = tuple(x.split("|>")[0] for x in text.split("<|")[1:] if not x.startswith("end"))
+        assert legal(roles) and all((t[3] or "") in text for t in own[conv])
+        assert sum(r["cost"] for r in rows) == c.repair([code.get((t[2] or "").strip().lower(), 0) for t in own[conv]])[0]

@@ -1,11 +1,17 @@
+import hashlib
+import math
 import random
+import re
 
+import numpy as np
+import public_tokenizers
 import pytest
-
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from tracewell.llm import near_dup
+from tests.llm import test_line_dedup, test_mixing, test_near_dup
+from tracewell.llm import bpe, near_dup, quality
 
 
 @pytest.fixture
@@ -72,3 +78,51 @@ def test_run_is_its_stages(spark, corpus):
     want = sorted(tuple(r)[:2] + (r["ids_sha256"],) for r in docs.collect())
     assert sorted(tuple(r)[:2] + (r["ids_sha256"],) for r in p.run(spark, path).collect()) == want
     assert len(p.STAGES) == 5
+
+
+def plain_scores(machine, texts):
+    """All pairs of features, one after the other."""
+    out = []
+    for text in texts:
+        at, value = quality.features(text or "")
+        raw = machine.bias + float(machine.weights[at].astype(np.float64) @ value)
+        rows = machine.factors[at].astype(np.float64) * value[:, None]
+        raw += sum(float(rows[i] @ rows[:i].sum(axis=0)) for i in range(len(rows)))
+        out.append(1 / (1 + math.exp(-raw)))
+    return out
+
+
+def plain_mix(docs, weights=(3, 1, 2)):
+    """(id, text) as often as the mix takes them whole, the half and more counting as one."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in docs}
+    sources = sorted({s for _, _, s in docs})
+    sizes = [sum(size[i] for i, _, s in docs if s == name) for name in sources]
+    out = []
+    for name, total, goal in zip(sources, sizes, test_mixing.filled(sizes, [weights[k % 3] for k in range(len(sizes))], 1.5, 2), strict=True):
+        words = math.floor(goal + 0.5)
+        whole, extra = words // total, words % total
+        own = sorted((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, t) for i, t, s in docs if s == name)
+        for _, i, t in own:
+            part = max(0, min(size[i], extra))
+            extra -= size[i]
+            out += [(i, t)] * math.floor((whole * size[i] + part) / size[i] + 0.5)
+    return out
+
+
+def test_run_equals_plain_versions_of_its_stages(spark, corpus):
+    path, docs, labels = corpus
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    machine = quality.train(frame, spark.read.parquet(f"{path}/labels.parquet"))
+    scores = plain_scores(machine, [d[1] for d in docs])
+    rows = [d for d, x in zip(docs, scores, strict=True) if x >= quality.THRESHOLD]
+    kept = {i: text for i, _, _, text in test_line_dedup.plain([(d[0], d[1]) for d in rows])}
+    first = {i for i, root, _, _ in test_near_dup.plain(sorted(kept.items())) if i == root}
+    mixed = plain_mix([(d[0], kept[d[0]], d[3]) for d in rows if d[0] in first])
+    ranks = {t: i for i, t in enumerate(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for i, text in mixed:
+        ids = np.array(library.encode_ordinary(text), "<u4")
+        want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in p.run(spark, path).collect()]
+    assert sorted(got) == sorted(want) and len(first) < len(kept) < len(docs)
