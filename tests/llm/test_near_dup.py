@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tracewell.llm import near_dup as nd
@@ -107,3 +108,26 @@ def test_runs_for_signatures_that_all_runs_share():
     assert met / pairs >= 0.9945 and nd.recall_after(runs, 0.8, nd.DEPTH) >= 0.995 > nd.recall_after(runs - 1, 0.8, nd.DEPTH)
     with pytest.raises(ValueError):
         nd.runs_needed(0.01, 0.995, nd.DEPTH)
+
+
+def test_recall_of_links_in_nodes_of_all_depths(spark):
+    """Constants of production; groups with so many documents near the threshold that nodes are split to the end."""
+    rng = random.Random(21)
+    docs, sets = [], []
+    for g, size in enumerate((900, 300, 40)):
+        base = [f"g{g}w{k}" for k in range(200)]
+        for _ in range(size):
+            w = varied(rng, base, rng.choice([1, 2, 2, 2, 3])).split()
+            docs.append((len(docs), " ".join(w)))
+            sets.append({hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)})
+    vocabulary = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(docs), len(vocabulary)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [vocabulary[x] for x in s]] = 1
+    shared, n = held @ held.T, held.sum(axis=1)
+    true = shared >= 0.8 * (n[:, None] + n[None] - shared) - 1e-6
+    np.fill_diagonal(true, False)
+    got = {r["doc_id"]: r["n_links"] for r in nd.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+    counts = true.sum(axis=1)
+    assert 0.1 < true[:900, :900].mean() < 0.9 and all(got[i] <= c for i, c in enumerate(counts.tolist()))
+    assert sum(got.values()) >= 0.995 * counts.sum()

@@ -51,6 +51,8 @@ LIMIT = 128
 DEPTH = 6
 #: Nodes of so many members are split on inside one task, which holds their signatures (256 bytes each).
 LOCAL = 1 << 15
+#: Up to so many larger nodes, their names are broadcast.
+BROADCAST_NODES = 500_000
 #: A bucket is cut into blocks of so many documents, or so many items of their sets together.
 TILE = 512
 TILE_ITEMS = 1 << 20
@@ -261,18 +263,22 @@ def buckets(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("least")).where("n > 1")
         sizes = cut(sizes)
+        many = sizes.where(F.col("n") > LOCAL)
+        n_many = many.count()
+        # at most rows / LOCAL of them: what they hold is told apart on the map side
+        named = F.broadcast(many.select("node", "least")) if n_many <= BROADCAST_NODES else many.select("node", "least")
+        calm = rows.join(named.drop("least"), "node", "left_anti") if n_many else rows
         # runs bring the same documents together again and again: one node of each set of members is enough
         few = sizes.where(F.col("n") <= LOCAL).groupBy("n", "members").agg(F.min("node").alias("node"))
-        found = rows.join(few.select("node", F.lit(DEPTH - level).alias("depth")), "node").select("node", "depth", "id")
+        found = calm.join(few.select("node", F.lit(DEPTH - level).alias("depth")), "node").select("node", "depth", "id")
         members = found if members is None else members.unionByName(found)
-        many = sizes.where(F.col("n") > LOCAL)
-        if many.isEmpty():
+        if not n_many:
             break
+        held = rows.join(named, "node")
         if level == DEPTH:
-            large = rows.join(many.select("node", "least"), "node").select("id", F.col("least").alias("root"))
+            large = held.select("id", F.col("least").alias("root"))
         else:
-            split = rows.join(many.select("node"), "node").select("node", "id")
-            rows = cut(_children(split.join(nodes, "id").select("node", "id", "sig"), threshold))
+            rows = cut(_children(held.select("node", "id").join(nodes, "id").select("node", "id", "sig"), threshold))
     near = cut(_near(members.join(nodes, "id").select("node", "depth", "id", "sig"), threshold))
     stars = near.where("large").select("id", F.col("bucket").alias("root"))
     stars = (stars if large is None else stars.unionByName(large)).where("id <> root").distinct()
@@ -341,8 +347,11 @@ def exact_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     """(id, links long, root long) for each tile and document in it: the copies of the documents linked
     with it there, and the least id that links in the tile lead to. members: (id, mark, copies, items, bucket)."""
     blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("items") / TILE_ITEMS)).cast("int")
-    sizes = members.groupBy("bucket").agg(blocks.alias("blocks"))
-    placed = members.join(sizes, "bucket").groupBy("id", "mark", "copies").agg(F.collect_list(F.struct("bucket", "blocks")).alias("at"))
+    # only buckets of several blocks are large, and met in parts
+    large = members.groupBy("bucket").agg(blocks.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    placed = members.withColumn("salt", salt).join(large, ["bucket", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.groupBy("id", "mark", "copies").agg(F.collect_list(F.struct("bucket", "blocks")).alias("at"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
