@@ -37,3 +37,12 @@ def test_frequent_table_is_bounded_and_counts_all(spark):
     assert t.frequent_pre_tokens(df, "text", 2, 50)[0] == " the" and len(t.frequent_pre_tokens(df, "text", 2, 50)) == 2
     packed = t.Packed({" the": 1, "\nx": 2, "é": 300})
     assert packed.unpacked() == {" the": 1, "\nx": 2, "é": 300}
+
+
+def test_texts_are_cut_as_by_the_pattern():
+    rng = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab \n\t▁é") for _ in range(rng.randint(1, 12)))
+        found = [x for part in t.split(text) for x in part]
+        whole = [x if x[0] in " \n" else " " + x for x in found]
+        assert whole == t.PRE_TOKEN.findall(" " + text.replace(t.SPACE, " "))

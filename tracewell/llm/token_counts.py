@@ -41,13 +41,25 @@ def cuts_are_safe(model: sentencepiece.SentencePieceProcessor, spec: bytes) -> b
     return plain and model.encode_as_pieces("a  b\n") == model.encode_as_pieces("a") + model.encode_as_pieces(" b") + model.encode_as_pieces("\n")[1:]
 
 
+def _key(pre_token: str) -> str:
+    """A pre-token without its space, if that is a single one before a character."""
+    return pre_token[1:] if pre_token[0] == " " and pre_token[1:2] not in ("", " ") else pre_token
+
+
 def split(text: str) -> Iterator[list[str]]:
-    """Lists of pre-tokens; each begins with the space or newline before it."""
+    """Lists of pre-tokens. One begins with the run of spaces or the newline before it, but a single space before a
+    character is left out; a lone space is one itself."""
     text = " " + text.replace(SPACE, " ")
     if len(text) <= WHOLE_SPLIT:
-        yield PRE_TOKEN.findall(text)
+        if "  " in text or " \n" in text:
+            yield [*map(_key, PRE_TOKEN.findall(text))]
+            return
+        found = text[1:].replace("\n", " \n").split(" ")  # as the pattern would, but faster
+        if not found[-1]:
+            found[-1] = " "
+        yield found
         return
-    found = (m.group() for m in PRE_TOKEN.finditer(text))
+    found = (_key(m.group()) for m in PRE_TOKEN.finditer(text))
     while part := list(islice(found, 200_000)):
         yield part
 
@@ -64,9 +76,9 @@ class Lengths(dict):
     def counted(self, pre_tokens: Iterable[str]) -> dict[str, int]:
         """Counts by the library. It puts a space before each text: that is the pre-token's own first
         space; before a newline it is a token of its own."""
-        spaced = [p for p in pre_tokens if p[0] == " " and len(p) > 1]
+        spaced = [p for p in pre_tokens if p[0] != "\n" and p != " "]
         broken = [p for p in pre_tokens if p[0] == "\n"]
-        out = dict(zip(spaced, map(len, self.model.encode([p[1:] for p in spaced], num_threads=1)), strict=True)) if spaced else {}
+        out = dict(zip(spaced, map(len, self.model.encode([p[p[0] == " " :] for p in spaced], num_threads=1)), strict=True)) if spaced else {}
         if broken:
             out.update((p, len(ids) - 1) for p, ids in zip(broken, self.model.encode(broken, num_threads=1), strict=True))
         if " " in pre_tokens:
@@ -89,7 +101,7 @@ class Lengths(dict):
         if not long:
             return sum(map(self.__getitem__, pre_tokens))
         get = self.get
-        return sum([get(p) or long[p] for p in pre_tokens])
+        return sum([long[p] if (n := get(p)) is None else n for p in pre_tokens])
 
     def of(self, texts: list[str]) -> list[int]:
         """The texts' counts."""
@@ -128,7 +140,7 @@ def frequent_pre_tokens(df: DataFrame, text_col: str, n: int, kept: int) -> list
 
     rows = df.select(df[text_col].alias("text")).mapInArrow(summary, "summary binary")
     merged = rows.rdd.treeAggregate(Counter(), lambda c, r: _most(c + Counter(pickle.loads(bytes(r[0]))), n), lambda a, b: _most(a + b, n), depth=3)
-    return [k for k, _ in merged.most_common(n)]
+    return [k if k[0] in " \n" else " " + k for k, _ in merged.most_common(n)]
 
 
 class Packed:
@@ -157,7 +169,7 @@ def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     with open(model, "rb") as f:
         spec = f.read()
     own = Lengths(spec, {})
-    table = Packed(own.counted({*frequent_pre_tokens(df, text_col, frequent, kept)}) if own.safe else {})
+    table = Packed(own.counted({*map(_key, frequent_pre_tokens(df, text_col, frequent, kept))}) if own.safe else {})
     shared = df.sparkSession.sparkContext.broadcast((spec, table))
     kind, key = dict(df.dtypes)[id_col], shared._jbroadcast.id()
 
