@@ -48,6 +48,10 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+#: Last bytes of words: those that end a phrase, and those that rarely stand there.
+_END = np.zeros(256, bool)
+_END[[*b".,;:"]] = True
+_ODD = np.array([c < 128 and not chr(c).isalnum() and chr(c) not in ".,;:?!" for c in range(256)])
 
 
 def _share_level(x: float) -> int:
@@ -64,29 +68,26 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = text.encode()
     words = raw.split()
     counts = Counter(raw.lower().split())
-    hashed: dict[int, float] = {}
-    for w, n in counts.items():
-        at = zlib.crc32(w) % BUCKETS
-        hashed[at] = hashed.get(at, 0.0) + 1 + math.log(n)
-    norm = math.sqrt(sum(v * v for v in hashed.values())) or 1.0
+    at, place = np.unique(np.fromiter(map(zlib.crc32, counts), np.int64, len(counts)) % BUCKETS, return_inverse=True)
+    weight = np.bincount(place, 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))))
+    norm = math.sqrt(weight @ weight) or 1.0
     h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     n, n_words, lines = max(1, len(raw)), max(1, len(words)), text.split("\n")
     line_counts = Counter(lines)
-    full = sum(len(x) for x in lines) or 1
-    ends = sum(w[-1] in b".,;:" for w in words)
-    odd = sum(not (w[-1:].isalnum() or w[-1] in b".,;:?!" or w[-1] > 127) for w in words)
+    full = sum(map(len, lines)) or 1
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    last = np.bincount(np.frombuffer(bytes([w[-1] for w in words]), np.uint8), minlength=256)
+    ends, odd = last[_END].sum(), last[_ODD].sum()
     marks = h[_MARK]
     stats = (
         _log_level(len(text)), _log_level(len(words)), _log_level(len(lines)),
         _share_level(h[_UPPER].sum() / n), _share_level(h[_LOWER].sum() / n), _share_level(h[_DIGIT].sum() / n), _share_level(marks.sum() / n),
         _share_level(h[33] / n), _share_level((marks.max() if raw else 0) / n), _share_level(ends / n_words), _share_level(odd / n_words),
-        min(LEVELS - 1, int(sum(map(len, words)) / n_words)), _share_level(len(counts) / n_words), _share_level(max(counts.values(), default=0) / n_words),
-        _share_level(sum(len(x) * (c - 1) for x, c in line_counts.items()) / full), _log_level(full / len(lines)), _share_level(sum(len(w) == 1 for w in words) / n_words),
+        min(LEVELS - 1, int(sizes.sum() / n_words)), _share_level(len(counts) / n_words), _share_level(max(counts.values(), default=0) / n_words),
+        _share_level(sum(len(x) * (c - 1) for x, c in line_counts.items()) / full), _log_level(full / len(lines)), _share_level((sizes == 1).sum() / n_words),
     )
-    at = np.fromiter(hashed, np.int32, len(hashed))
-    value = np.fromiter(hashed.values(), np.float32, len(hashed)) / norm
     more = BUCKETS + np.arange(STATS, dtype=np.int32) * LEVELS + np.array(stats, np.int32)
-    return np.concatenate([at, more]), np.concatenate([value, np.full(STATS, 0.35, np.float32)])
+    return np.concatenate([at.astype(np.int32), more]), np.concatenate([(weight / norm).astype(np.float32), np.full(STATS, 0.35, np.float32)])
 
 
 @dataclass
