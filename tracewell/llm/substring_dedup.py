@@ -58,20 +58,39 @@ def _runs(words: np.ndarray, n: int, lane: int) -> np.ndarray:
     return _mixed(total)
 
 
-class Windows:
-    """A document's windows: their hashes and their anchors'."""
-
-    def __init__(self, words: list[bytes], length: int, gram: int, checks: bool = True):
-        h = np.array([*map(xxhash.xxh3_64_intdigest, words)], np.uint64)
-        grams = _runs(h, gram, 0)
-        n, w = len(words) - length + 1, length - gram + 1
+class Laid:
+    """Documents' words as hashes, laid end to end, and the windows that lie in one document each."""
+
+    def __init__(self, documents: Iterable[tuple[int, list[bytes]]], length: int):
+        ids, parts = [], []
+        for i, words in documents:
+            ids.append(i)
+            parts.append(np.array([*map(xxhash.xxh3_64_intdigest, words)], np.uint64))
+        self.length, self.words = length, np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        n = np.array([len(p) for p in parts], np.int64)
+        #: Windows of each document, and where all windows begin.
+        self.counts = np.maximum(n - length + 1, 0)
+        before = np.cumsum(n) - n - (np.cumsum(self.counts) - self.counts)
+        self.starts = np.repeat(before, self.counts) + np.arange(self.counts.sum())
+        self.ids = np.repeat(np.array(ids, np.int64), self.counts)
+
+    def anchors(self, gram: int) -> np.ndarray:
+        """Of each window the least hash of a gram."""
+        if not len(self.starts):
+            return np.empty(0, np.uint64)
+        grams = _runs(self.words, gram, 0)
+        n = len(self.words) - self.length + 1
         best = grams[:n].copy()
-        for j in range(1, w):
+        for j in range(1, self.length - gram + 1):
             np.minimum(best, grams[j : j + n], out=best)
-        self.anchors = best
-        if checks:
-            self.hashes = _runs(h, length, 1)
-            self.checks = (_runs(h, length, 2) >> np.uint64(32)).astype(np.uint32)
+        return best[self.starts]
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window 64 bits and 32 more."""
+        if not len(self.starts):
+            return np.empty(0, np.uint64), np.empty(0, np.uint32)
+        checks = (_runs(self.words, self.length, 2)[self.starts] >> np.uint64(32)).astype(np.uint32)
+        return _runs(self.words, self.length, 1)[self.starts], checks
 
 
 def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +163,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield i, (t or "").encode().split()
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
-        found = [np.unique(Windows(w, length, gram, checks=False).anchors) for _, w in words_of(table) if len(w) >= length]
-        return _packed(key[0].as_py(), np.unique(_joined(found)), shards)
+        return _packed(key[0].as_py(), np.unique(Laid(words_of(table), length).anchors(gram)), shards)
 
     def return_anchors(key: tuple, table: pa.Table) -> pa.Table:
         parts = _unpacked(table.column("hashes"), np.uint64)
@@ -158,16 +176,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def send_windows(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         shared = np.sort(_joined(_unpacked(back.column("hashes"), np.uint64)))
-        hashes, checks, ids = [], [], []
-        for i, words in words_of(table):
-            if len(words) >= length and len(shared):
-                w = Windows(words, length, gram)
-                good = _held(w.anchors, shared)
-                hashes.append(w.hashes[good])
-                checks.append(w.checks[good])
-                ids.append(np.full(len(hashes[-1]), i, np.int64))
-        h, c, i = _joined(hashes), _joined(checks, np.uint32), _joined(ids, np.int64)
-        order, starts, first = _first_ids(h, c, i)
+        laid = Laid(words_of(table) if len(shared) else (), length)
+        good = _held(laid.anchors(gram), shared)
+        h, c = (x[good] for x in laid.hashes())
+        order, starts, first = _first_ids(h, c, laid.ids[good])
         return _packed(key[0].as_py(), h[order][starts], shards, checks=c[order][starts], ids=first)
 
     def return_windows(key: tuple, table: pa.Table) -> pa.Table:
@@ -188,25 +200,23 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         elsewhere, their_checks = _joined(_unpacked(back.column("hashes"), np.uint64)), _joined(_unpacked(back.column("checks"), np.uint32), np.uint32)
         order = np.argsort(elsewhere, kind="stable")
         elsewhere, their_checks = elsewhere[order], their_checks[order]
-        hashes, checks, counts, rows = [], [], [], []
-        for i, words in words_of(table):
-            rows.append(i)
-            counts.append(max(0, len(words) - length + 1))
-            if counts[-1]:
-                w = Windows(words, length, gram)
-                hashes.append(w.hashes)
-                checks.append(w.checks)
-        h, c = _joined(hashes), _joined(checks, np.uint32)
-        ids = np.repeat(np.array(rows, np.int64), counts)
+        laid = Laid(words_of(table), length)
+        (h, c), ids, counts = laid.hashes(), laid.ids, laid.counts.tolist()
         order, starts, first = _first_ids(h, c, ids)
         repeated = np.empty(len(h), bool)
         repeated[order] = ids[order] > np.repeat(first, np.diff(np.append(starts, len(h))))
         repeated |= _held_pairs(h, c, elsewhere, their_checks)
         n_words, n_removed, kept, at, begins, ends, offsets = [], [], [], 0, [], [], [0]
         for n, (_, words) in zip(counts, words_of(table), strict=True):
-            over = np.zeros(len(words) + 1, np.int32)
             own = np.flatnonzero(repeated[at : at + n])
             at += n
+            if not len(own):
+                offsets.append(offsets[-1])
+                n_words.append(len(words))
+                n_removed.append(0)
+                kept.append(b" ".join(words).decode())
+                continue
+            over = np.zeros(len(words) + 1, np.int32)
             over[own] += 1
             over[own + length] -= 1
             gone = np.append(np.cumsum(over)[:-1] > 0, False)
@@ -216,7 +226,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             offsets.append(offsets[-1] + len(edges) // 2)
             n_words.append(len(words))
             n_removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n_removed[-1] else words).decode())
+            kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode())
         spans = pa.StructArray.from_arrays([pa.array(_joined(x, np.int64), pa.int32()) for x in (begins, ends)], ["start", "end"])
         return pa.table({"id": table.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string()), "repeats": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)})
 
