@@ -154,7 +154,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.select(F.coalesce(F.sum(F.octet_length(docs[text_col])), F.lit(0))).first()[0]
     shards = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
     given = docs.select(id_column(id_col).alias("id"), docs[text_col].alias("text"))
-    given = given.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    # texts without a byte may be many under one id (null, say): they are dealt by where they stand
+    place = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) == 0, F.spark_partition_id())
+    given = given.withColumn("b", F.pmod(F.xxhash64("id", "text", place), F.lit(shards)))
     given = given.repartition(shards, "b")  # as many tasks as buckets, whatever the session's setting
 
     def words_of(table: pa.Table) -> Iterable[tuple[int, list[bytes]]]:
