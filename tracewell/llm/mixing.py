@@ -14,7 +14,7 @@ found from sums over bins of that order, so that no task sees a whole source; on
 (a 4,096th of a source) is ordered row by row.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; a null
-id orders as the empty string; rows that tie in every column that orders them are alike, so that
+id orders by its text; rows that tie in every column that orders them are alike, so that
 whichever comes first the rows are the same; a source without words has the target 0; an empty table
 gives an empty table; other columns of the input are not carried along by `mix`; `mixed_documents` keeps all.
 """
@@ -97,7 +97,9 @@ def _taken(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs
     """(id, source, mark, size, source_size, target, taken): mark is the hash of the text."""
     need(docs, id_col, text_col, source_col)
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
+    # null ids go by their texts, else all of them would come to one place
+    name = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(docs[text_col], F.lit("")))))
+    order = F.md5(F.concat(F.lit(seed + ":"), name))
     rows = cut(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), F.xxhash64(docs[text_col]).alias("mark"), size.alias("size"), order.alias("place")))
     bins = cut(rows.groupBy("source", F.substring("place", 1, BINS_HEX).alias("bin")).agg(F.sum("size").alias("size")))
     n_sources = bins.select("source").distinct().count()

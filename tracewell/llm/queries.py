@@ -137,7 +137,7 @@ ORACLE_SQL = {
     "op9_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS place
             FROM documents
         ), sources AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size) * 2.0::DOUBLE AS cap,
