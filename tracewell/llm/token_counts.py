@@ -107,13 +107,20 @@ class Lengths(dict):
         """The texts' counts."""
         if not self.safe:
             return [len(ids) for ids in self.model.encode(texts, num_threads=1)] if texts else []
-        out = [0] * len(texts)
-        short = {i: next(split(t)) for i, t in enumerate(texts) if t and len(t) < WHOLE_SPLIT}
-        long = self.learn(chain.from_iterable(short.values()))
-        for i, found in short.items():
-            out[i] = self._sum(found, long)
+        out, unknown, get = [0] * len(texts), {}, self.get
         for i, t in enumerate(texts):
-            if t and i not in short:
+            if t and len(t) < WHOLE_SPLIT:
+                found = next(split(t))
+                counts = [*map(get, found)]
+                if None in counts:
+                    unknown[i] = [p for p, n in zip(found, counts, strict=True) if n is None]
+                    counts = [n for n in counts if n]
+                out[i] = sum(counts)
+        long = self.learn(chain.from_iterable(unknown.values()))
+        for i, found in unknown.items():
+            out[i] += self._sum(found, long)
+        for i, t in enumerate(texts):
+            if t and len(t) >= WHOLE_SPLIT:
                 out[i] = sum(self._sum(part, self.learn(part)) for part in split(t))
         return out
 
