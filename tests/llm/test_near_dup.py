@@ -67,6 +67,15 @@ def test_nodes_that_a_shuffle_splits(spark, monkeypatch):
     assert rows(nd.classes(spark.createDataFrame(docs, "doc_id long, text string"))) == plain(docs)
 
 
+def test_rows_of_one_id_are_all_there(spark, monkeypatch):
+    monkeypatch.setattr(nd, "ROWS", 4)
+    docs = [(None, "one two three")] * 14 + [(1, "one two three"), (2, None), (2, None)] + [(5, "a b c d e f g")] * 8
+    got = rows(nd.classes(spark.createDataFrame(docs, "doc_id long, text string").where("doc_id is not null")))
+    assert got == [(1, 1, 0, 0)] + [(2, 2, 0, 0)] * 2 + [(5, 5, 7, 7)] * 8
+    whole = nd.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert {tuple(r) for r in whole} == {(None, None, 14, 14), (1, None, 14, 1), (2, 2, 0, 2), (5, 5, 7, 8)}
+
+
 def test_texts_of_one_id(spark):
     """Of several texts one stands for the id, whatever the order of rows."""
     a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))

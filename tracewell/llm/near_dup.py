@@ -58,6 +58,8 @@ TILE = 512
 TILE_ITEMS = 1 << 20
 SALTS = 32
 PARTS = 8
+#: Rows of one id that are made at once.
+ROWS = 4_096
 SLICE = 4_096
 #: Tokens and columns counted at once.
 RANGE_ITEMS = 1 << 19
@@ -425,7 +427,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     others = F.coalesce(F.col("copies") - 1, F.lit(0))
     class_id = F.coalesce("own_root", "root", "node", "id")
     out = out.select("id", "times", class_id.alias("class_id"), (F.coalesce("own_links", "links", F.lit(0)) + others).alias("n_links"), others.alias("n_copies"))
-    out = out.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    # one id (null, say) may stand in a third of all rows: its rows are made in parts, dealt over tasks
+    once = out.withColumn("n", F.col("times").cast("int")).where(F.col("times") <= ROWS)
+    parts = out.where(F.col("times") > ROWS).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / ROWS).cast("int"))))
+    parts = parts.repartition("id", "part").withColumn("n", F.least(F.lit(ROWS), F.col("times") - F.col("part") * ROWS).cast("int")).drop("part")
+    out = once.unionByName(parts).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return out.select(null_id_back(F.col("id")).alias(id_col), null_id_back(F.col("class_id")).alias("class_id"), "n_links", "n_copies")
 
 
