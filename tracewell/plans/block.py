@@ -65,7 +65,9 @@ def frame_bytes(frame: DataFrame) -> int:
 
 def most_bytes(cat: Catalyst, n: PlanNode) -> int:
     """What an operator's result may measure: of a join on equal columns as much as both sides, of one on other conditions
-    their product, of a limit its rows."""
+    their product, of a limit its rows, of a recursion the rows that Spark allows."""
+    if n.name == "UnionLoop":  # Spark itself ends a recursion with more rows
+        return int(cat.spark.conf.get("spark.sql.cteRecursionRowLimit", "1000000")) * cat.row_bytes(n.node)
     if not n.children:
         return cat.bytes_of(n.node)
     sizes = [most_bytes(cat, c) for c in n.children]
