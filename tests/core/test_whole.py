@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import queries
 from tracewell.operators import trace
+from tracewell.plans import block
 from tracewell.operators.recursive import reachable_paths
 from tracewell.session import ProvenanceSession
 
@@ -82,6 +83,66 @@ def test_composed_edges_are_the_block(spark, sql, mode):
         assert {(n.opid, c) for n in operators for c in n.source_opids if c in {p[1] for p in pairs}} <= pairs
 
 
+def join_rows(spark, frame):
+    """Rows out of each join of a frame that was read."""
+    found, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        n = todo.pop()
+        kind = n.getClass().getSimpleName()
+        if "Join" in kind:
+            found.append(n.metrics().get("numOutputRows").get().value())
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(n.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(n.plan())
+        children = n.children()
+        todo += [children.apply(k) for k in range(children.length())]
+    return found
+
+
+@pytest.mark.parametrize("heavy", [256, 3])
+def test_rows_are_numbered_before_groups_multiply_them(spark, monkeypatch, heavy):
+    monkeypatch.setattr(block, "HEAVY", heavy)
+    got, want = both(spark, "lin_corr_sub")
+    assert got == want
+    frame = queries.QUERIES["lin_corr_sub"](spark, SF)
+    frame.collect()
+    assert sorted(join_rows(spark, frame))[-2:-1] < [len(want)] == sorted(join_rows(spark, frame))[-1:]
+
+
+#: Groups below joins, and as (output row, left row id, row ids of the groups) what stands behind them, spelled out in SQL.
+BELOW_JOINS = [
+    ("select t.v, a.c from t join (select k, count(*) as c from t group by k) a on t.k <=> a.k", "select t.v, t.k, t.rid, b.rid from t join t b on t.k is not distinct from b.k"),
+    ("select a.c, b.s, a.k from (select k, count(*) as c from t group by k) a join (select k, sum(w) as s from u group by k) b on a.k <=> b.k", "select t.k, t.rid, u.rid from t join u on t.k is not distinct from u.k"),
+    ("select a.k, u.w from (select k, count(*) as c from t group by k) a left join u on a.k = u.k and w > 150", "select t.k, t.rid, u.rid from t left join u on t.k = u.k and w > 150"),
+    ("select u.w, a.c from u left join (select k, count(*) as c from t group by k) a on u.k = a.k", "select u.rid, u.rid, t.rid from u left join t on u.k = t.k"),
+    ("select t.v, row_number() over (order by t.v, a.k) as r from t join (select k, count(*) as c from t group by k having count(*) < 3) a on t.k > a.k", "select t.rid, b.rid from t join t b on t.k > b.k and (select count(*) from t c where c.k = b.k) < 3"),
+]
+
+
+@pytest.mark.parametrize(("sql", "pairs"), BELOW_JOINS)
+@pytest.mark.parametrize("persist", [True, False])
+@pytest.mark.parametrize("heavy", [256, 1])
+def test_groups_below_joins(spark, monkeypatch, sql, pairs, persist, heavy):
+    monkeypatch.setattr(block, "HEAVY", heavy)
+    tables = {"t": ("k int, v int", [(1, 10), (1, 20), (2, 30), (None, 40), (3, 50), (1, 10)]), "u": ("k int, w int", [(1, 100), (2, 200), (9, 900), (None, 0)])}
+    con = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        con.execute(f"create table {name} (rid int, {schema})")
+        con.executemany(f"insert into {name} values (?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+        spark.createDataFrame(rows, schema).coalesce(1).createOrReplaceTempView(name)
+    s = ProvenanceSession(spark)
+    s.set_persist_provenance(persist)
+    df = spark.sql(sql)
+    qid = s.capture(df)
+    got = [tuple(r) for r in s.read_block(qid).collect()]
+    assert sorted(map(repr, (r[-2:] for r in got))) == sorted(repr(r[-2:]) for r in con.execute(pairs).fetchall())
+    result = {r["output_id"]: tuple(r)[1:] for r in s.result(qid).collect()}
+    assert sorted(map(repr, result.values())) == sorted(map(repr, map(tuple, df.collect())))
+    assert {r[0] for r in got} <= set(result) == set(range(len(result)))
+    s.clear_provenance()
+
+
 def test_all_bits_of_the_target_matrix(spark, tmp_path):
     got, want = both(spark, "target_matrix_all")
     assert got == want

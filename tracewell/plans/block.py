@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.checkpoints import cut
-from tracewell.plans.annotate import Annotated, Annotator, Kept, RowIds
+from tracewell.plans.annotate import Annotated, Annotator, Kept, Later, RowIds
 from tracewell.plans.catalyst import Catalyst
 from tracewell.plans.nodes import PlanNode
 
@@ -17,6 +17,8 @@ from tracewell.plans.nodes import PlanNode
 ONE_WINDOW_BYTES = 256 << 20
 #: Up to so many rows of a result that is kept, their ids are broadcast to the witnesses.
 BROADCAST_ROWS = 100_000
+#: Where more rows of a result than HEAVY share an aggregate's group, the group's witnesses are dealt over a part for each HEAVY, up to PARTS.
+HEAVY, PARTS = 256, 64
 
 
 @dataclass
@@ -101,6 +103,37 @@ def with_output_ids(frame: DataFrame, order: list[Any], name: str = "output_id",
     return placed.withColumn(name, F.col("__mono") - F.col("__first") + F.col("__start")).drop("__part", "__mono", "__first", "__start")
 
 
+def _with_witnesses(cat: Catalyst, rows: DataFrame, result: DataFrame, identity: list[str], late: Later, place: int, small: bool) -> DataFrame:
+    """The numbered rows of a result, each with every witness of its group, their row ids as l<place>, l<place + 1>, ...
+
+    A group of n rows and m witnesses has n * m rows here, however few the sides have: its witnesses are dealt over parts
+    by n, and the rows are repeated for each part. Small results are broadcast instead."""
+    keys = [f"w{k}" for k in range(len(identity))]
+    ids = [f"l{place + k}" for k in range(len(late.witnesses.row_ids))]
+    columns = [cat.named(e, c) for e, c in zip([*late.keys, *(x.attribute for x in late.witnesses.row_ids)], keys + ids, strict=True)]
+    side = cat.frame(cat.project(columns, late.witnesses.plan))
+    condition = F.lit(True)
+    for c, k in zip(identity, keys, strict=True):
+        condition = condition & F.col(c).eqNullSafe(F.col(k))
+    if small:
+        return side.join(F.broadcast(rows), condition).drop(*keys)
+    groups = result.groupBy(*(F.col(c).alias(f"h{k}") for k, c in enumerate(identity))).agg(F.count("*").alias("__rows"))
+    parts = F.least(F.ceil(F.col("__rows") / HEAVY), F.lit(PARTS)).cast("int")
+    heavy = F.broadcast(groups.where(F.col("__rows") > HEAVY).withColumn("__parts", parts).drop("__rows"))  # a row for HEAVY of the result at most
+
+    def dealt(frame: DataFrame, by: list[str]) -> DataFrame:
+        same = F.lit(True)
+        for k, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"h{k}"))
+        return frame.join(heavy, same, "left").drop(*(f"h{k}" for k in range(len(by))))
+
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))
+    rows = dealt(rows, identity).withColumn("__part", every).drop("__parts")
+    at = F.pmod(F.xxhash64(*ids), F.coalesce(F.col("__parts"), F.lit(1))).cast("int")
+    side = dealt(side, keys).withColumn("__at", at).drop("__parts")
+    return rows.join(side, condition & (F.col("__part") == F.col("__at"))).drop("__part", "__at", *keys)
+
+
 def operator_edges(cat: Catalyst, root: PlanNode, mode: str = "left") -> list[tuple[PlanNode, int, str, DataFrame]]:
     """(operator, opid and table of a source, edges) for each source of each operator that materializes; edges are
     (out_rowid, in_rowid). A source is a table, or the next operator below that materializes, as LOGICAL_<name>.
@@ -144,16 +177,28 @@ def compose(cat: Catalyst, root: PlanNode, mode: str = "left", kept: dict[int, K
     carry = [a for o in cat.items(sort.order()) for a in cat.references(o)] if sort is not None else []
     annotator = Annotator(cat, mode, carry, kept)
     a = annotator.root_witnesses(root, argument)
-    order_of = sorted(range(len(a.row_ids)), key=lambda k: a.row_ids[k].opid)
-    columns = [(a.row_ids[k].opid, a.row_ids[k].table) for k in order_of]
-    named = [F.col(f"l{k}").alias(f"opid_{a.row_ids[k].opid}_{a.row_ids[k].table}") for k in order_of]
+    row_ids = a.row_ids + [x for late in a.later for x in late.witnesses.row_ids]
+    order_of = sorted(range(len(row_ids)), key=lambda k: row_ids[k].opid)
+    columns = [(row_ids[k].opid, row_ids[k].table) for k in order_of]
+    named = [F.col(f"l{k}").alias(f"opid_{row_ids[k].opid}_{row_ids[k].table}") for k in order_of]
     named += [F.col("argument")] * (argument is not None)
     values = _named(cat, root, annotator.walk(root, False) if a.multiplied else a, sort)
     order = [*values.sort, *(F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.payload + values.identity))]
     if by_identity and values.identity:
         order = [F.col(c).asc_nulls_first() for c in _orderable(values.frame, values.identity)]
     numbered = with_output_ids(values.frame, order, read=most_bytes(cat, root))
-    if not a.multiplied:
+    if a.later:
+        small = False
+        if keep:
+            numbered = numbered.persist()
+            small = numbered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        block, place = numbered, len(a.row_ids)
+        for late in a.later:
+            identity = [f"i{[cat.id_of(x) for x in a.identity].index(cat.id_of(y))}" for y in late.identity]
+            block = _with_witnesses(cat, block, values.frame, identity, late, place, small and late is a.later[0])
+            place += len(late.witnesses.row_ids)
+        block = block.select("output_id", *named)
+    elif not a.multiplied:
         block = numbered.select("output_id", *named)
     else:
         small = False
