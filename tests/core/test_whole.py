@@ -110,6 +110,47 @@ def test_rows_are_numbered_before_groups_multiply_them(spark, monkeypatch, heavy
     assert sorted(join_rows(spark, frame))[-2:-1] < [len(want)] == sorted(join_rows(spark, frame))[-1:]
 
 
+def test_pairs_are_numbered_without_being_kept(spark, monkeypatch):
+    kept, keep = [], block.cut
+    monkeypatch.setattr(block, "ONE_WINDOW_BYTES", 0)
+    monkeypatch.setattr(block, "cut", lambda df: kept.append(keep(df)) or kept[-1])
+    got, want = both(spark, "lin_theta_all")
+    assert got == want and max(f.count() for f in kept) < len(want) // 10
+
+
+#: Joins on other conditions: alike rows on the side that comes first, nulls, NaN, no rows, expressions, both sides in one column.
+PAIRS = [
+    "select a.k, b.w from t a join u b on a.v < b.w",
+    "select b.w, a.k from t a join u b on a.v < b.w",
+    "select a.k, b.w, a.v from t a join u b on a.v <> b.w and a.v > 10",
+    "select a.k from t a join u b on a.v < b.w or b.k is null",
+    "select b.k + 1 as x, a.v from t a join u b on a.d >= b.d",
+    "select a.d, b.d as e from t a join u b on a.d > b.d or a.d = 0",
+    "select a.v + b.w as x, a.v from t a join u b on a.v < b.w",
+    "select 1 as x, b.w, a.v from t a cross join u b",
+    "select a.v, c.v as y from t a join t c on a.v < c.v",
+    "select a.v, b.w from t a join u b on a.v > b.w + 1000",
+    "select a.k, b.k as y, c.k as z from t a join u b on a.v < b.w join t c on c.v > b.w",
+]
+
+
+@pytest.mark.parametrize("sql", PAIRS)
+@pytest.mark.parametrize("tries", [1 << 28, 5])
+def test_pairs_have_the_ids_of_one_window(spark, monkeypatch, sql, tries):
+    monkeypatch.setattr(block, "PAIRS_A_TASK", tries)
+    nan = float("nan")
+    rows = [(1, 10, 0.0), (1, 20, -0.0), (2, 30, nan), (None, 40, None), (None, 50, 1.5), (1, 10, nan), (2, 30, 0.0)]
+    spark.createDataFrame(rows, "k int, v int, d double").repartition(3).createOrReplaceTempView("t")
+    spark.createDataFrame([(1, 15, 0.0), (1, 15, nan), (2, 200, -0.0), (9, 25, 1.0), (None, 0, None)], "k int, w int, d double").coalesce(1).createOrReplaceTempView("u")
+    blocks = []
+    for one in (1 << 40, 0):
+        monkeypatch.setattr(block, "ONE_WINDOW_BYTES", one)
+        s = ProvenanceSession(spark)
+        qid = s.capture(spark.sql(sql))
+        blocks.append((sorted(map(repr, s.read_block(qid).collect())), sorted(map(repr, s.result(qid).collect()))))
+    assert blocks[0] == blocks[1]
+
+
 #: Groups below joins, and as (output row, left row id, row ids of the groups) what stands behind them, spelled out in SQL.
 BELOW_JOINS = [
     ("select t.v, a.c from t join (select k, count(*) as c from t group by k) a on t.k <=> a.k", "select t.v, t.k, t.rid, b.rid from t join t b on t.k is not distinct from b.k"),
