@@ -126,6 +126,9 @@ PAIRS = [
     "select a.k from t a join u b on a.v < b.w or b.k is null",
     "select b.k + 1 as x, a.v from t a join u b on a.d >= b.d",
     "select a.d, b.d as e from t a join u b on a.d > b.d or a.d = 0",
+    "select a.v, b.d as e from t a join u b on a.d <= b.d",
+    "select b.d, a.v as e from t a join u b on a.d < b.d",
+    "select b.d, a.v as e from t a join u b on b.d >= a.d",
     "select a.v + b.w as x, a.v from t a join u b on a.v < b.w",
     "select 1 as x, b.w, a.v from t a cross join u b",
     "select a.v, c.v as y from t a join t c on a.v < c.v",
