@@ -140,3 +140,16 @@ def test_recall_of_links_in_nodes_of_all_depths(spark):
     counts = true.sum(axis=1)
     assert 0.1 < true[:900, :900].mean() < 0.9 and all(got[i] <= c for i, c in enumerate(counts.tolist()))
     assert sum(got.values()) >= 0.995 * counts.sum()
+
+
+def test_no_files_in_the_shared_folder(spark, tmp_path):
+    """Each such file makes the executor's JVM start processes; its memory counts twice until they have begun."""
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        docs = made(6, 12, 5)
+        assert rows(nd.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == plain(docs)
+        assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    finally:
+        sc.setCheckpointDir(before.rsplit("/", 1)[0] if before else str(tmp_path))

@@ -1,9 +1,10 @@
-"""Cutting plans by checkpoints in a folder that all executors share."""
+"""Cutting plans by checkpoints: in a folder that all executors share, or on the executors' disks."""
 
 from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared checkpoint folder: computed once, no plan behind them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_local(df: DataFrame) -> DataFrame:
+    """The rows, computed once, no plan behind them, kept by Spark on the disks of two executors. For many small results:
+    each file in a shared folder that is a local one makes Hadoop start processes from the executor's JVM (chmod)."""
+    one = df.sparkSession.sparkContext._jsc.sc().isLocal()
+    return df.localCheckpoint(eager=True, storageLevel=StorageLevel.DISK_ONLY if one else StorageLevel.DISK_ONLY_2)

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.checkpoints import cut
+from tracewell.checkpoints import cut, cut_local
 
 #: The bytes that part words and are stripped from lines: space and \t \n \v \f \r.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -66,4 +66,4 @@ def place_of(df: DataFrame, name: str) -> str:
     return f"c{[c.lower() for c in df.columns].index(name.lower())}"
 
 
-__all__ = ["ASCII_SPACE", "NULL_ID", "by_place", "cut", "id_column", "need", "null_id_back", "pieces_of", "place_of", "table", "texts"]
+__all__ = ["ASCII_SPACE", "NULL_ID", "by_place", "cut", "cut_local", "id_column", "need", "null_id_back", "pieces_of", "place_of", "table", "texts"]

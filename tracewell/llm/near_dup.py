@@ -20,7 +20,8 @@ components of the links.
 
 So work grows with the documents times the buckets that they are in, a bounded number of at most LIMIT members each,
 and only groups of that many linked documents with different texts cost the square of their size (their links do, too).
-Nothing is gathered on the driver, and large nodes, buckets and classes of copies are dealt over tasks.
+Nothing is gathered on the driver, and large nodes, buckets and classes of copies are dealt over tasks. What is computed
+once and read again is kept by the executors, each block by two of them; no file is made for it in a shared folder.
 
 Defined results: a null or wordless text has the empty set, no links and a class of its own; a null id is
 one document below all others; ids are cast to long; rows with one id are one document, whose text is the one of
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import by_place, cut, id_column, need, null_id_back, pieces_of, place_of, texts
+from tracewell.llm._common import by_place, cut_local, id_column, need, null_id_back, pieces_of, place_of, texts
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -264,7 +265,7 @@ def buckets(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
     members, large = None, None
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("id").alias("least")).where("n > 1")
-        sizes = cut(sizes)
+        sizes = cut_local(sizes)
         many = sizes.where(F.col("n") > LOCAL)
         n_many = many.count()
         # at most rows / LOCAL of them: what they hold is told apart on the map side
@@ -280,10 +281,10 @@ def buckets(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
         if level == DEPTH:
             large = held.select("id", F.col("least").alias("root"))
         else:
-            rows = cut(_children(held.select("node", "id").join(nodes, "id").select("node", "id", "sig"), threshold))
-    near = cut(_near(members.join(nodes, "id").select("node", "depth", "id", "sig"), threshold))
+            rows = cut_local(_children(held.select("node", "id").join(nodes, "id").select("node", "id", "sig"), threshold))
+    near = cut_local(_near(members.join(nodes, "id").select("node", "depth", "id", "sig"), threshold))
     stars = near.where("large").select("id", F.col("bucket").alias("root"))
-    stars = (stars if large is None else stars.unionByName(large)).where("id <> root").distinct()
+    stars = (stars if large is None else stars.unionByName(large)).where("id <> root")
     found = near.where("not large").select("id", "bucket").distinct()
     if stars.isEmpty():
         return found
@@ -297,15 +298,15 @@ def components(edges: DataFrame) -> DataFrame:
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("part")
     each = F.explode(F.array(*map(F.lit, range(PARTS)))).alias("at_part")
     both = edges.select(F.col("id").alias("a"), F.col("root").alias("b")).union(edges.select("root", "id")).distinct()
-    both = cut(both.select("a", "b", part("a")))
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root"))
+    both = cut_local(both.select("a", "b", part("a")))
+    labels = cut_local(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root"))
     while True:
         asks = both.unionByName(labels.select(F.col("id").alias("a"), F.col("root").alias("b"), part("id")))
         senders = labels.select(F.col("id").alias("sender"), F.col("root").alias("sent"), each)
         told = asks.join(senders, (asks["b"] == senders["sender"]) & (asks["part"] == senders["at_part"]))
         told = told.select(F.col("a").alias("id"), F.col("sent").alias("root"), F.lit(None).cast("long").alias("was"))
         new = labels.select("id", "root", F.col("root").alias("was")).unionByName(told)
-        new = cut(new.groupBy("id").agg(F.min("root").alias("root"), F.max("was").alias("was")))
+        new = cut_local(new.groupBy("id").agg(F.min("root").alias("root"), F.max("was").alias("was")))
         labels = new.select("id", "root")
         if new.where("root <> was").isEmpty():
             return labels
@@ -404,17 +405,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gra
     documents linked with it, and how many of these have the same set."""
     if not 0.5 < threshold < 1:
         raise ValueError("threshold must lie between 0.5 and 1")
-    found = cut(signatures(docs, id_col, text_col, gram))
+    found = cut_local(signatures(docs, id_col, text_col, gram))
     own = found.groupBy("id").agg(F.count("*").alias("times"), F.min("mark").alias("mark"), F.min_by("p1", "mark").alias("p1"), F.min_by("p2", "mark").alias("p2"))
-    own = cut(own)
-    heads = cut(own.where("p1 is not null").groupBy("p1", "p2").agg(F.min("id").alias("id"), F.min_by("mark", "id").alias("mark"), F.sum("times").alias("copies")))
+    own = cut_local(own)
+    heads = cut_local(own.where("p1 is not null").groupBy("p1", "p2").agg(F.min("id").alias("id"), F.min_by("mark", "id").alias("mark"), F.sum("times").alias("copies")))
     same = ["id", "mark"]
-    nodes = cut(found.join(heads.select(*same, "copies"), same).dropDuplicates(same).select(*same, "items", "copies", "sig"))
+    nodes = cut_local(found.join(heads.select(*same, "copies"), same).dropDuplicates(same).select(*same, "items", "copies", "sig"))
     at = buckets(nodes.select("id", "sig"), threshold, recall)
-    members = cut(at.join(nodes.drop("sig"), "id"))
-    links = cut(exact_links(docs, members, id_col, text_col, gram, threshold))
+    members = cut_local(at.join(nodes.drop("sig"), "id"))
+    links = cut_local(exact_links(docs, members, id_col, text_col, gram, threshold))
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
-    named = components(links.where("id != root").select("id", "root").distinct())
+    named = components(links.where("id != root").select("id", "root"))
     known = counted.join(named, "id", "left").select(F.col("id").alias("node"), "links", F.coalesce("root", "id").alias("root"))
     # a class of copies may hold a third of all rows: what is known of it is met in parts
     known = heads.select("p1", "p2", F.col("id").alias("node"), "copies").join(known, "node", "left").where("copies > 1 or links is not null")
