@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 
 from tracewell.llm import bpe
@@ -60,3 +61,30 @@ def test_query_digests(spark):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_derived_columns(spark, odd_docs):
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    whole = bpe.encode(odd_docs, PATH, P.PATTERN, with_decoded=True).collect()
+    made = bpe.encode(odd_docs, PATH, P.PATTERN, with_decoded=True, derive={"of ids": ("ids", sha), "back": ("decoded", sha)})
+    assert made.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("of ids", "string"), ("back", "string")]
+    key = lambda r: (r[0] or -1, r[1:])
+    assert sorted(map(key, made.collect())) == sorted(key((r["doc_id"], r["n_tokens"], sha(r["ids"]), sha(r["decoded"]))) for r in whole)
+    assert bpe.encode(odd_docs.limit(0), PATH, P.PATTERN, derive={"of ids": ("ids", sha)}).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(odd_docs, PATH, P.PATTERN, derive={"back": ("decoded", sha)})
+
+
+def test_query_brings_no_texts_back_to_the_jvm(spark):
+    """The executor's JVM held ids and texts of whole batches a second time; a process it starts counts that twice."""
+    df = op1_bpe(spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, moved = [plan], {}
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        for name in ("pythonDataSent", "pythonDataReceived"):
+            if node.metrics().contains(name):
+                moved[name] = node.metrics().apply(name).value()
+    assert 0 < moved["pythonDataReceived"] < moved["pythonDataSent"] / 2

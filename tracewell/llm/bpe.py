@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -29,6 +29,8 @@ LONG_PIECE = 1024
 CACHED_PIECE = 64
 CACHE_ENTRIES = 200_000
 MATRIX_CELLS = 1 << 20
+#: Texts are split into pieces so many bytes at a time: a list of pieces takes over ten times its text.
+PART_BYTES = 1 << 20
 #: Texts over so many characters are split piecewise, so that their pieces never stand in memory at once.
 WHOLE_SPLIT = 1 << 20
 PAD = 0xFFFF
@@ -233,26 +235,39 @@ def _share(df: DataFrame, vocabulary: str, pattern: str):
     return df.sparkSession.sparkContext.broadcast((tokens, pattern, (hash((*tokens,)), pattern)))
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+def encode(
+    df: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_decoded: bool = False,
+    derive: dict[str, tuple[str, Callable[[bytes], str]]] | None = None,
+) -> DataFrame:
     """(id, n_tokens long, ids binary[, decoded binary]): ids are packed little-endian unsigned 32-bit
-    integers; decoded, if asked for, is made from these ids again."""
+    integers; decoded, if asked for, is made from these ids again. derive puts string columns in place of
+    these two: by name, the column each is made from and the function of its bytes. It is called in the
+    worker, so that neither ids nor texts go back through the executor's JVM."""
     need(df, id_col, text_col)
     shared = _share(df, vocabulary, pattern)
     kind = dict(df.dtypes)[id_col]
+    whole = ("ids", "decoded") if with_decoded else ("ids",)
+    if unknown := [c for c, _ in (derive or {}).values() if c not in whole]:
+        raise ValueError(f"columns are derived from {whole}, not from {unknown}")
+    made = [(c, c, None) for c in whole] if derive is None else [(name, c, f) for name, (c, f) in derive.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for part in pieces_of(batch, "text"):
+            for part in pieces_of(batch, "text", PART_BYTES):
                 ids = encoder.encode(texts(part))
-                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                names = [id_col, "n_tokens", "ids"]
-                if with_decoded:
-                    columns.append(pa.array(map(encoder.decode, ids), pa.binary()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * with_decoded
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                for _, c, f in made:
+                    values = map(encoder.decode, ids) if c == "decoded" else ids
+                    columns.append(pa.array(map(f, values), pa.string()) if f else pa.array(values, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *(name for name, _, _ in made)])
+
+    schema = f"`{id_col}` {kind}, n_tokens long" + "".join(f", `{name}` {'string' if f else 'binary'}" for name, _, f in made)
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
 
 
