@@ -126,3 +126,46 @@ def test_run_equals_plain_versions_of_its_stages(spark, corpus):
         want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in p.run(spark, path).collect()]
     assert sorted(got) == sorted(want) and len(first) < len(kept) < len(docs)
+
+
+@pytest.fixture
+def shared_folder(spark, tmp_path):
+    """A checkpoint folder of this test alone."""
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path / "shared"))
+    yield tmp_path / "shared"
+    sc.setCheckpointDir(before.rsplit("/", 1)[0] if before else str(tmp_path))
+
+
+def test_stages_leave_no_files_in_the_shared_folder(spark, corpus, shared_folder):
+    """Each such file makes the executor's JVM start processes; its memory counts twice until they have begun."""
+    path, _, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, path).count()
+    assert not [f for f in shared_folder.rglob("*") if f.is_file()]
+
+
+def test_stages_make_as_few_files_as_go_with_the_size(spark, corpus, tmp_path, monkeypatch):
+    path, rows, _ = corpus
+    spark.read.parquet(f"{path}/documents.parquet").repartition(120).write.parquet(f"{tmp_path}/many")
+    docs = spark.read.parquet(f"{tmp_path}/many")
+    held = {"spark.sql.files.openCostInBytes": "64m", "spark.sql.files.maxPartitionBytes": "64m", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "50"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert docs.rdd.getNumPartitions() >= 50
+        for name, stage in p.STAGES:
+            monkeypatch.setattr(p, "PARTS_A_CORE", 1)
+            few = stage(spark, docs, path)
+            assert few.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+            monkeypatch.setattr(p, "PART_BYTES", 1)  # as if the input were large: no part is put to another
+            assert stage(spark, docs, path).rdd.getNumPartitions() >= 50
+            monkeypatch.undo()
+            if name != "quality_filter":
+                assert few.select("doc_id").distinct().count() <= len(rows) and few.count() >= len(rows) - 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

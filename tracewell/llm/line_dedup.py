@@ -11,7 +11,8 @@ out the references that can't be of such a key: on the map side if all filters t
 broadcast, else each shard's references meet its filter, in SALTS parts. What passes is verified against the
 reference table. Since references are counted, and a cuckoo filter can forget a key, a batch of documents can be
 inserted or deleted: both are changes of counts, which change the filters of the shards they touch. `deduplicated`
-inserts all documents as the first batch; LineIndex keeps both tables in a shared folder over many batches.
+inserts all documents as the first batch, and the executors keep both tables, each block on the disks of two of them;
+LineIndex keeps them in a shared folder over many batches.
 
 Defined results: a null or empty text is one empty line; a null id is one document, below all others; ids are cast
 to long; rows with the same id are one document, each row keeping its own lines; ties don't arise, as only ids
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import ASCII_SPACE, by_place, cut, id_column, need, pieces_of, place_of, texts
+from tracewell.llm._common import ASCII_SPACE, by_place, cut, cut_local, id_column, need, pieces_of, place_of, texts
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -287,10 +288,10 @@ def _with_results(docs: DataFrame, applied: DataFrame) -> DataFrame:
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    refs = cut(reference_counts(docs, id_col, text_col, min_chars))
-    hot = cut(repeated(refs, min_docs))
+    refs = cut_local(reference_counts(docs, id_col, text_col, min_chars))
+    hot = cut_local(repeated(refs, min_docs))
     shards = hot.count() // KEYS_A_SHARD + 1
-    filters = cut(changed_filters(_inserted(hot), _no_filters(docs.sparkSession), shards))
+    filters = cut_local(changed_filters(_inserted(hot), _no_filters(docs.sparkSession), shards))
     return apply_drops(docs, dropped_keys(refs, hot, filters, shards), id_col, text_col, min_chars)
 
 

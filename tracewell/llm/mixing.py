@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._common import by_place, cut, need, place_of
+from tracewell.llm._common import by_place, cut_local, need, place_of
 from tracewell.plans.block import with_output_ids
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,7 +71,7 @@ def targets(sources: DataFrame, share: float, max_epochs: float, n: int = 0) ->
     ORDERED_SOURCES sources is ordered in one task."""
     if n > ORDERED_SOURCES:
         s = sources.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-        s = cut(s.withColumn("ratio", F.col("cap") / F.col("weight")))
+        s = cut_local(s.withColumn("ratio", F.col("cap") / F.col("weight")))
         level = water_level(s, float(s.agg(F.sum("source_size")).first()[0]) * share)
         filled = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("weight"))
         return s.select("source", "source_size", "weight", filled.alias("target"))
@@ -100,8 +100,8 @@ def _taken(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs
     # null ids go by their texts, else all of them would come to one place
     name = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(docs[text_col], F.lit("")))))
     order = F.md5(F.concat(F.lit(seed + ":"), name))
-    rows = cut(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), F.xxhash64(docs[text_col]).alias("mark"), size.alias("size"), order.alias("place")))
-    bins = cut(rows.groupBy("source", F.substring("place", 1, BINS_HEX).alias("bin")).agg(F.sum("size").alias("size")))
+    rows = cut_local(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), F.xxhash64(docs[text_col]).alias("mark"), size.alias("size"), order.alias("place")))
+    bins = cut_local(rows.groupBy("source", F.substring("place", 1, BINS_HEX).alias("bin")).agg(F.sum("size").alias("size")))
     n_sources = bins.select("source").distinct().count()
     sources = cycled(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, n_sources)
     goal = targets(sources, share, max_epochs, n_sources)
@@ -115,7 +115,7 @@ def _taken(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs
     border = summed.alias("b").join(F.broadcast(goal).alias("g") if n_sources <= BROADCAST_SOURCES else goal.alias("g"), same)
     border = border.where("b.upto >= g.extra").groupBy("b.source").agg(F.min_by(F.struct("b.bin", (F.col("b.upto") - F.col("b.size")).alias("before")), "b.bin").alias("border"))
     plan = goal.alias("g").join(border.alias("b"), same, "left").select("g.*", "b.border.bin", "b.border.before")
-    plan = cut(plan)
+    plan = cut_local(plan)
     side = F.broadcast(plan.alias("p")) if n_sources <= BROADCAST_SOURCES else plan.alias("p")
     joined = rows.alias("r").join(side, F.col("r.source").eqNullSafe(F.col("p.source")))
     joined = joined.select("r.id", "r.size", "r.source", "r.mark", "r.place", "p.source_size", "p.target", "p.whole", "p.extra", "p.bin", "p.before", F.substring("r.place", 1, BINS_HEX).alias("own_bin"))
